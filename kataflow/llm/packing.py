@@ -15,6 +15,7 @@ text are read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,37 +29,63 @@ from kataflow.llm.common import chunks, durable
 CAPACITY, END_ID = 4096, 2
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Pieces of one length that one task may rank.
-BUCKET_ROWS = 2000
+BUCKET_ROWS = 500
 #: Texts of these characters only are cut at white space and looked up word by word; the tokenizer never joins across
 #: white space there, and lower case and composition are the identity or agree. All other texts go to the tokenizer whole.
 PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
 
 
+def _class(*kinds: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] in kinds)
+
+
+#: What the tokenizer takes as one unit in PLAIN texts.
+_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\\s{L}{N}]+".format(L=_class("L"), N=_class("N")))
+
+
 class _Words(dict):
-    """Word -> bytes of its ids; misses are encoded in batches beforehand."""
+    """Word -> bytes of its ids, put together from its units; the tokenizer sees each new unit once."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a unit
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.units: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: set[str]) -> None:
+        cut = {w: _UNIT.findall(w) for w in words}
+        new = list({u for units in cut.values() for u in units if u not in self.units})
+        if new:
+            ids = self.encode(" ".join(new))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.units.update((u, raw[a:b]) for u, a, b in zip(new, at[:-1], at[1:], strict=True))
+        self.update((w, b"".join([self.units[u] for u in units])) for w, units in cut.items())
 
     def text(self, text: str) -> bytes:
         if PLAIN.search(text):
-            return self.encode([text])[0]
+            return self.encode(text).tobytes()
         words = text.lower().split()
         try:
             return b"".join(map(self.__getitem__, words))
         except KeyError:
-            missing = list({w for w in words if w not in self})
             if len(self) > 1_000_000:
                 self.clear()
-                missing = list(set(words))
-            self.update(zip(missing, self.encode(missing), strict=True))
+                self.units.clear()
+            self.learn({w for w in words if w not in self})
             return b"".join(map(self.__getitem__, words))
 
+    def warm(self, texts: list[str]) -> None:
+        """Learns what the texts need at once."""
+        if len(self) < 1_000_000:
+            self.learn({w for t in texts if not PLAIN.search(t) for w in t.lower().split()} - self.keys())
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Rows PIECES: each document's ids (little-endian unsigned 32 bits) and end_id, cut every `capacity` ids."""
@@ -69,6 +96,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(spec)
         for batch, texts in chunks(batches, "text"):
+            words.warm(texts)
             doc_ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
             for doc_id, text in zip(doc_ids, texts, strict=True):
                 ids = words.text(text) + end
