@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kataflow.llm import chat, decontamination, jaccard_join, packing, pii, quality, sharding
+from kataflow.llm import chat, decontamination, html, jaccard_join, packing, pii, quality, sharding, topk
 from kataflow.llm.common import table
 
 CONTROL = "\\### Assistant: </turn> ok"
@@ -18,6 +19,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql("select * from values (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) as v(conv_id, turn, role, text)", {"t": CONTROL})
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
@@ -41,6 +47,11 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -49,5 +60,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat, op3_packing, op4_quality, op5_decontamination, op7_jaccard, op9_sharding, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_chat, op3_packing, op4_quality, op5_decontamination, op7_jaccard, op8_topk, op9_sharding, op10_pii)}
 ORACLES: dict[str, str] = {}
