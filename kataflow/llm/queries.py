@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kataflow.llm import chat, decontamination, html, jaccard_join, packing, pii, quality, sharding, topk
+from kataflow.llm import chat, decontamination, html, jaccard_join, lm, packing, pii, quality, sharding, topk
 from kataflow.llm.common import table
 
 CONTROL = "\\### Assistant: </turn> ok"
@@ -43,6 +43,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.scan(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = quality.remainder("doc_id", 5)
+    scored = lm.score(table(spark, sf_dir, "documents"), fold != 1)
+    return scored.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -60,5 +66,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_chat, op3_packing, op4_quality, op5_decontamination, op7_jaccard, op8_topk, op9_sharding, op10_pii)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html, op2_chat, op3_packing, op4_quality, op5_decontamination, op6_lm, op7_jaccard, op8_topk, op9_sharding, op10_pii)}
 ORACLES: dict[str, str] = {}
