@@ -223,7 +223,8 @@ def _distance(members: DataFrame, checked: DataFrame, name: str) -> DataFrame:
 
 
 def _hub_pairs(members: DataFrame) -> DataFrame:
-    pairs = members.where((F.col("key") != F.col("hub")) & _may(F.col("n"), F.col("hub_n")))
+    most = 1 + F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
+    pairs = members.where((F.col("key") != F.col("hub")) & _may(F.col("n"), F.col("hub_n")) & (19 * most >= 9 * (F.col("n") + F.col("hub_n"))))
     first = F.col("key") < F.col("hub")
     return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"), F.when(first, F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(first, F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
 
@@ -232,28 +233,29 @@ def links(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """(a, b) of nodes at 0.9 or more: enough of them to connect all that any link connects."""
     # One exchange by place serves the removal of repeated nodes, the counts and the join of both.
     rows = _prefixes(docs, hot).repartition("place").groupBy("place", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    lists = rows.groupBy("place").agg(F.count("*").alias("k")).where("k > 1")
+    # (The maxima are always positive; asking for them lets both sides read the same columns and so the same exchange.)
+    lists = rows.groupBy("place").agg(F.count("*").alias("k"), F.max("n").alias("_n"), F.max("pos").alias("_p")).where("k > 1 and _n > 0 and _p > 0").select("place", "k")
     shared = durable(rows.join(lists, "place"))
     few = shared.where(F.col("k") <= SHORT)
     short = few.alias("x").join(few.alias("y"), "place").where((F.col("x.key") < F.col("y.key")) & _may(F.col("x.n"), F.col("y.n")) & _bound("x", "y")).select(*_pair("x", "y")).distinct()
 
     score = shared.groupBy("key").agg((F.count("*") / F.first("n")).alias("score"))
     many = shared.where(F.col("k") > SHORT).join(score, "key")
-    hub = many.groupBy("place").agg(F.max(F.struct("score", "key", "n")).alias("h")).select("place", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"))
+    hub = many.groupBy("place").agg(F.max(F.struct("score", "key", "n", "pos")).alias("h")).select("place", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
     members = durable(many.join(hub, "place"))
     checked = _verified(docs, hot, short.unionByName(_hub_pairs(members)).distinct())
     found = checked.where(LINKED).select("a", "b")
 
     # What a first hub leaves open, a second one of those not linked to the first.
-    once = durable(_distance(members, checked, "d1").withColumn("open", F.coalesce(F.col("d1") > 0.1 + 1e-12, F.lit(True))).drop("hub", "hub_n"))
-    hub = once.where("open").groupBy("place").agg(F.max(F.struct("score", "key", "n")).alias("h"), F.count("*").alias("left")).select("place", "left", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"))
+    once = durable(_distance(members, checked, "d1").withColumn("open", F.coalesce(F.col("d1") > 0.1 + 1e-12, F.lit(True))).drop("hub", "hub_n", "hub_pos"))
+    hub = once.where("open").groupBy("place").agg(F.max(F.struct("score", "key", "n", "pos")).alias("h"), F.count("*").alias("left")).select("place", "left", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
     twice = durable(once.join(hub, "place"))
     if twice.limit(1).count() == 0:
         return found
     again = _verified(docs, hot, _hub_pairs(twice.where(F.col("left") > SHORT)))
     found = durable(found.union(again.where(LINKED).select("a", "b")))
     group = components(found).select(F.col("node").alias("key"), "label")
-    last = durable(_distance(twice, again, "d2").join(group, "key", "left").withColumn("label", F.coalesce("label", "key")).drop("hub", "hub_n"))
+    last = durable(_distance(twice, again, "d2").join(group, "key", "left").withColumn("label", F.coalesce("label", "key")).drop("hub", "hub_n", "hub_pos"))
     near = lambda c: F.coalesce(F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= 0.1 + 1e-9, F.lit(True))
     rest = (
         last.where("open").alias("x").join(last.alias("y"), "place")
