@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +40,6 @@ def strip_marks(text: str) -> str:
 
 def without_diacritics(text: Column) -> Column:
     """strip_marks() of a column; ASCII texts stay in the JVM."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def strip(s: pd.Series) -> pd.Series:
         return s.map(strip_marks, na_action="ignore")
