@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,9 +150,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mode: str =
         return found.where(F.size("hits") == 0).select(*docs.columns)
 
     @F.pandas_udf("string")
-    def cut(texts, hits):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def cut(texts: pd.Series, hits: pd.Series) -> pd.Series:
         out = []
         for t, h in zip(texts, hits, strict=True):
             at = [m.span() for m in _WORD.finditer(t)]
