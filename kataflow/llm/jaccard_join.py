@@ -8,6 +8,7 @@
    list. Short lists give their pairs. In a long list every node is compared with the hub (its best connected node);
    links to the hub connect them, and what is left is compared by pairs only where the triangle inequality of the
    Jaccard distance, sizes, positions and the components so far leave it open. So groups of copies cost links, not pairs.
+   Pairs whose SKETCH_BITS parity bits differ more than sets at 0.9 can are dropped before anything is fetched.
 4. Candidates are verified exactly: the n-gram order is cut into FRAGMENTS, overlaps of each pair are counted in each
    fragment on its own, and the counts are summed per pair.
 
@@ -33,6 +34,7 @@ WIDTH, FRAGMENTS, SHORT = 3, 8, 8
 HOT, COUNTING, HOT_IN_TASK, HOT_IN_ALL = 1 << 18, 1 << 20, 4, 24
 #: Bits of the filter that says which nodes have candidates (4 MB when broadcast).
 FILTER_BITS = 1 << 25
+SKETCH_BITS = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOP = np.uint64(1 << 63)
 
@@ -64,16 +66,22 @@ class Sets:
         return np.unique(mix(total) >> np.uint64(1))
 
 
+def _sketch(ids: np.ndarray) -> np.ndarray:
+    """Parities of the set's members by their low bits: sets that differ in d members differ in d bits at most."""
+    odd = np.bincount((ids & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _key(ids: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(ids.tobytes()) - (1 << 63)
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, key) and of frequent n-grams of a task (gram, times), told apart by gram."""
+    """Rows of documents (doc_id, n, key, sketch) and of frequent n-grams of a task (gram, times), told apart by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, grams, times, waiting, held = Sets(), np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
-        names, kinds = ["doc_id", "n", "key", "gram", "times"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        names, words = ["doc_id", "n", "key", "sketch", "gram", "times"], pa.list_(pa.int64())
 
         def count() -> tuple[np.ndarray, np.ndarray]:
             found, each = np.unique(np.concatenate(waiting), return_counts=True)
@@ -89,7 +97,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
             n = [len(x) for x in ids]
             keys = [_key(x) if len(x) else None for x in ids]
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array([_sketch(x) for x in ids], words), none, none], names)
             waiting += ids
             held += sum(n)
             if held > COUNTING:
@@ -99,9 +107,9 @@ def _signatures(docs: DataFrame) -> DataFrame:
             grams, times = count()
         hot = times >= HOT_IN_TASK
         none = pa.nulls(int(hot.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(grams[hot].astype(np.int64)), pa.array(times[hot])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(int(hot.sum()), words), pa.array(grams[hot].astype(np.int64)), pa.array(times[hot])], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key long, gram long, times long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key long, sketch array<long>, gram long, times long")
 
 
 class Order:
@@ -194,6 +202,13 @@ def _verified(docs: DataFrame, hot: np.ndarray, pairs: DataFrame) -> DataFrame:
     return durable(summed.select("a", "b", "na", "nb", "common"))
 
 
+def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs whose sketches allow 0.9: sets at 0.9 differ in (na + nb) / 19 members at most."""
+    x, y = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("_x")), nodes.select(F.col("key").alias("b"), F.col("sketch").alias("_y"))
+    bits = F.aggregate(F.zip_with("_x", "_y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
+    return pairs.join(x, "a").join(y, "b").where(19 * bits <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb")
+
+
 LINKED = "100 * common >= 90 * (na + nb - common)"
 
 
@@ -229,7 +244,7 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"), F.when(first, F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(first, F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
 
 
-def links(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
     """(a, b) of nodes at 0.9 or more: enough of them to connect all that any link connects."""
     # One exchange by place serves the removal of repeated nodes, the counts and the join of both.
     rows = _prefixes(docs, hot).repartition("place").groupBy("place", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
@@ -243,25 +258,22 @@ def links(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     many = shared.where(F.col("k") > SHORT).join(score, "key")
     hub = many.groupBy("place").agg(F.max(F.struct("score", "key", "n", "pos")).alias("h")).select("place", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
     members = durable(many.join(hub, "place"))
-    checked = _verified(docs, hot, short.unionByName(_hub_pairs(members)).distinct())
-    found = checked.where(LINKED).select("a", "b")
-
-    # What a first hub leaves open, a second one of those not linked to the first.
-    once = durable(_distance(members, checked, "d1").withColumn("open", F.coalesce(F.col("d1") > 0.1 + 1e-12, F.lit(True))).drop("hub", "hub_n", "hub_pos"))
-    hub = once.where("open").groupBy("place").agg(F.max(F.struct("score", "key", "n", "pos")).alias("h"), F.count("*").alias("left")).select("place", "left", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
-    twice = durable(once.join(hub, "place"))
-    if twice.limit(1).count() == 0:
-        return found
-    again = _verified(docs, hot, _hub_pairs(twice.where(F.col("left") > SHORT)))
-    found = durable(found.union(again.where(LINKED).select("a", "b")))
+    checked = _verified(docs, hot, _close(short.unionByName(_hub_pairs(members)).distinct(), nodes))
+    found = durable(checked.where(LINKED).select("a", "b"))
+
+    # What the hub leaves open in its list: pairs with a node that isn't linked to it, of different components so far.
     group = components(found).select(F.col("node").alias("key"), "label")
-    last = durable(_distance(twice, again, "d2").join(group, "key", "left").withColumn("label", F.coalesce("label", "key")).drop("hub", "hub_n", "hub_pos"))
-    near = lambda c: F.coalesce(F.abs(F.col(f"x.{c}") - F.col(f"y.{c}")) <= 0.1 + 1e-9, F.lit(True))
+    last = _distance(members, checked, "d").withColumn("open", F.coalesce(F.col("d") > 0.1 + 1e-12, F.lit(True)))
+    last = durable(last.join(group, "key", "left").withColumn("label", F.coalesce("label", "key")).select("place", "key", "n", "pos", "d", "open", "label"))
+    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 0.1 + 1e-9, F.lit(True))
     rest = (
         last.where("open").alias("x").join(last.alias("y"), "place")
-        .where((F.col("x.label") != F.col("y.label")) & (~F.col("y.open") | (F.col("x.key") < F.col("y.key"))) & _may(F.col("x.n"), F.col("y.n")) & _bound("x", "y") & near("d1") & near("d2"))
+        .where((F.col("x.label") != F.col("y.label")) & (~F.col("y.open") | (F.col("x.key") < F.col("y.key"))) & _may(F.col("x.n"), F.col("y.n")) & _bound("x", "y") & near)
         .select(*_pair("x", "y")).distinct()
     )
+    rest = durable(_close(rest, nodes))
+    if rest.limit(1).count() == 0:
+        return found
     return found.union(_verified(docs, hot, rest).where(LINKED).select("a", "b"))
 
 
@@ -272,9 +284,9 @@ def join(docs: DataFrame) -> DataFrame:
     top = first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_IN_ALL).orderBy(F.desc("times"), "gram").limit(HOT).select("gram").toPandas()
     hot = top["gram"].to_numpy().astype(np.uint64)[::-1]
     rows = first.where("gram is null").select("doc_id", "n", "key")
-    labels = components(links(docs, hot))
-    nodes = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    nodes = durable(first.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")))
+    labels = components(links(docs, nodes.select("key", "sketch"), hot))
+    named = nodes.drop("sketch").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_key = named.select("key", "label").join(least, "label").select("key", "component_id")
     return rows.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
