@@ -194,25 +194,63 @@ def _append(level: list, part: list) -> None:
         level.extend(part)
 
 
+def _lift(items: list, groups: dict[str, list]) -> list:
+    """items with every stretch that is the core of one of the groups replaced by that group."""
+    out, opens = [], []
+    for x in items:
+        out.append(x)
+        if isinstance(x, list):
+            out[-1] = groups.get(json.dumps([x]), x)
+        elif x.startswith("/") and opens:
+            start = opens.pop()
+            if found := groups.get(json.dumps(out[start:])):
+                out[start:] = [found]
+        elif x != "#" and not x.startswith("/"):
+            opens.append(len(out) - 1)
+    return out
+
+
+def _groups(items: list) -> dict[str, list]:
+    """The groups of items by core; a core both repeated and left out is found by both forms."""
+    found: dict[str, list] = {}
+    for x in items:
+        if isinstance(x, list):
+            found[json.dumps(x[1])] = x
+            if len(x[1]) == 1 and isinstance(x[1][0], list):
+                found[json.dumps(x[1][0][1])] = x
+    return found
+
+
+def _keys(items: list) -> list[str]:
+    """What must agree for two items to be the same: the item and the containers around it."""
+    out, above = [], []
+    for x in items:
+        if isinstance(x, str) and x.startswith("/"):
+            out.append(" ".join([*above, x]))
+            if above:
+                above.pop()
+        else:
+            out.append(" ".join([*above, _key(x)]))
+            if isinstance(x, str) and x != "#":
+                above.append(x)
+    return out
+
+
 def align(wrapper: list, stream: list) -> list:
     """The wrapper generalised to match the stream (or wrapper) too."""
+    stream = _lift(stream, _groups(wrapper))
+    wrapper = _lift(wrapper, _groups(stream))
     if wrapper == stream:
         return wrapper
-    a, b = [_key(x) for x in wrapper], [_key(x) for x in stream]
     out: list = []
-    for op, i, j, m, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    for op, i, j, m, n in difflib.SequenceMatcher(None, _keys(wrapper), _keys(stream), autojunk=False).get_opcodes():
         if op == "equal":
             out += wrapper[i:j]
             continue
         for only in (wrapper[i:j], stream[m:n]):
             for part in _balanced(only):
-                if len(part) == 1 and isinstance(part[0], list):
-                    core = part[0][1]
-                    out.append(part[0] if part[0][0] == "?" else ["?", [["+", core]]])
-                elif part == ["#"] or len(part) > 1:
-                    out.append(["?", part])
-                else:
-                    out.append(part[0])
+                optional = len(part) > 1 or part == ["#"] or isinstance(part[0], list) and part[0][0] == "+"
+                out += [["?", part]] if optional else part
     return fold(out)
 
 
