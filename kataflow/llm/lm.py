@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from kataflow.llm.common import chunks, durable
 
-HEAD, CLASS, MIDDLE, POWERS, HIDDEN = 4096, 64, 1 << 19, 40, 32
+HEAD, CLASS, MIDDLE, POWERS, HIDDEN = 4096, 64, 1 << 18, 24, 32
 WINDOW, SEGMENT, STRIDE, ROUNDS, STREAMS, RATE = 32, 128, 8, 2, 64, 0.08
-SEGMENTS_PER_TRAINER, PARTS, SALTS, SCORED_CHARS = 4000, 16, 16, 8_000_000
+SEGMENTS_PER_TRAINER, PARTS, SALTS, SCORED_CHARS = 4000, 16, 16, 5_000_000
 CLASSES = HEAD // CLASS + POWERS + 1
 RARE = HEAD + POWERS  # model ids: head words, powers of two of middle words, rare
 END = xxhash.xxh3_64_intdigest(b"\n") - (1 << 63)
@@ -45,36 +45,54 @@ def words(text: str) -> list[bytes]:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word) - (1 << 63)
         return h
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(word, c): hashes and counts of all tokens."""
+def gather(docs: DataFrame) -> DataFrame:
+    """Rows (word, c): hashes and counts of a task's tokens; and rows (segment): the hashes of every STRIDE-th segment.
+
+    Segments are SEGMENT + 1 tokens of the running text of a task, ends included, wherever they lie.
+    """
+    none = lambda n, t: pa.nulls(n, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n, ends = _Hashes(), [], 0, 0
+        hashes, held, n = _Hashes(), [], 0
+        rest, nth = np.empty(0, np.int64), TaskContext.get().partitionId()
+        found, c = np.empty(0, np.int64), np.empty(0, np.int64)
 
-        def out() -> pa.RecordBatch:
-            found, c = np.unique(np.concatenate([*held, np.full(1, END)]), return_counts=True)
-            c[np.searchsorted(found, END)] += ends - 1
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(c)], ["word", "c"])
+        def count() -> tuple[np.ndarray, np.ndarray]:
+            new, times = np.unique(np.concatenate(held), return_counts=True)
+            both, at = np.unique(np.concatenate([found, new]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([c, times])).astype(np.int64)
 
         for _, texts in chunks(batches, "text"):
+            row = []
             for t in texts:
                 w = words(t)
-                held.append(np.fromiter(map(hashes.__getitem__, w), np.int64, len(w)))
-                n += len(w)
-            ends += len(texts)
+                row += [np.fromiter(map(hashes.__getitem__, w), np.int64, len(w)), np.full(1, END)]
+            flat = np.concatenate(row)
+            held.append(flat)
+            n += len(flat)
             if n > 4_000_000:
-                yield out()
-                held, n, ends = [], 0, 0
-        if ends:
-            yield out()
+                found, c = count()
+                held, n = [], 0
+            if len(found) > 2_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c), none(len(found), pa.binary())], ["word", "c", "segment"])
+                found, c = found[:0], c[:0]
+            flat = np.concatenate([rest, flat])
+            full = (len(flat) - 1) // SEGMENT
+            parts = [flat[k * SEGMENT : k * SEGMENT + SEGMENT + 1].tobytes() for k in range(full) if (nth + k) % STRIDE == 0]
+            rest, nth = flat[full * SEGMENT :], nth + full
+            if parts:
+                yield pa.RecordBatch.from_arrays([none(len(parts), pa.int64()), none(len(parts), pa.int64()), pa.array(parts, pa.binary())], ["word", "c", "segment"])
+        if held:
+            found, c = count()
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c), none(len(found), pa.binary())], ["word", "c", "segment"])
 
-    return docs.select("text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "word long, c long, segment binary")
 
 
 class Vocabulary:
@@ -139,31 +157,46 @@ class Model:
         k, states, saved = HIDDEN, np.empty((*x.shape, HIDDEN), np.float32), []
         for t in range(len(x)):
             a, g = self.win[x[t]], h @ self.u
-            zr = 1 / (1 + np.exp(-(a[:, : 2 * k] + g[:, : 2 * k])))
-            z, r = zr[:, :k], zr[:, k:]
-            n = np.tanh(a[:, 2 * k :] + r * g[:, 2 * k :])
-            new = n + z * (h - n)
+            zr = np.add(a[:, : 2 * k], g[:, : 2 * k])
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r, gn = zr[:, :k], zr[:, k:], g[:, 2 * k :]
+            n = r * gn
+            n += a[:, 2 * k :]
+            np.tanh(n, out=n)
+            new = np.subtract(h, n, out=states[t])
+            new *= z
+            new += n
             if keep:
-                saved.append((h, z, r, n, g[:, 2 * k :]))
-            states[t] = h = new
+                saved.append((h, z, r, n, gn))
+            h = new
         return states, saved
 
     def logs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of p(class) and, for head words, p(word | class)."""
-        c = np.where(y < HEAD, y // CLASS, y - HEAD + HEAD // CLASS)
-        out = np.empty(len(y), np.float64)
-        logits = h @ self.cw + self.cb
-        top = logits.max(1)
-        out[:] = logits[np.arange(len(y)), c] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        c = np.where(y < HEAD, y // CLASS, y - (HEAD - HEAD // CLASS)).astype(np.int16)
+        out = self._softmax_logs(h, self.cw, self.cb, c)
         rows = np.flatnonzero(y < HEAD)
-        rows = rows[np.argsort(c[rows], kind="stable")]
-        for part in np.split(rows, np.flatnonzero(np.diff(c[rows])) + 1) if len(rows) else ():
-            k = int(c[part[0]]) * CLASS
-            s = h[part] @ self.ow[k : k + CLASS].T + self.ob[k : k + CLASS]
-            top = s.max(1)
-            out[part] += s[np.arange(len(part)), y[part] - k] - top - np.log(np.exp(s - top[:, None]).sum(1))
+        rows = rows[np.argsort(c[rows], kind="stable")]  # a radix sort
+        ends = np.concatenate(([0], np.cumsum(np.bincount(c[rows], minlength=HEAD // CLASS))))
+        for k in np.flatnonzero(np.diff(ends)):
+            part, words = rows[ends[k] : ends[k + 1]], slice(k * CLASS, (k + 1) * CLASS)
+            out[part] += self._softmax_logs(h[part], self.ow[words].T, self.ob[words], y[part] - k * CLASS)
         return out
 
+    @staticmethod
+    def _softmax_logs(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        logits = h @ w
+        logits += b
+        # States lie in (-1, 1): the weights bound the logits, and mostly no maximum is needed against overflow.
+        if (np.abs(w).sum(0) + np.abs(b)).max() > 60:
+            logits -= logits.max(1)[:, None]
+        one = logits[np.arange(len(at)), at].astype(np.float64)
+        np.exp(logits, out=logits)
+        return one - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+
     def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, old: Model) -> np.ndarray:
         """One AdaGrad update from a window (steps x streams); `old` holds the sums of squares. Returns the last state."""
         k, grad = HIDDEN, Model(np.zeros(self.SIZE, np.float32))
@@ -215,65 +248,46 @@ class Model:
         return states[-1]
 
 
-def _segments(docs: DataFrame, share: Callable[[], Vocabulary]) -> DataFrame:
-    """(ids binary): every STRIDE-th segment of SEGMENT + 1 model ids of the running text of a task, ends included."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, hashes, rest, nth = share(), _Hashes(), np.empty(0, np.int64), TaskContext.get().partitionId()
-        for _, texts in chunks(batches, "text"):
-            row = [rest]
-            for t in texts:
-                w = words(t)
-                row += [np.fromiter(map(hashes.__getitem__, w), np.int64, len(w)), np.full(1, END)]
-            flat = np.concatenate(row)
-            full = (len(flat) - 1) // SEGMENT if len(flat) else 0
-            used = [k for k in range(full) if (nth + k) % STRIDE == 0]
-            parts = [flat[k * SEGMENT : k * SEGMENT + SEGMENT + 1] for k in used]
-            rest, nth = flat[full * SEGMENT :], nth + full
-            if parts:
-                ids = v.of(np.concatenate(parts))[0].astype("<i4").reshape(len(parts), -1)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids], pa.binary())], ["ids"])
-
-    return docs.select("text").mapInArrow(run, "ids binary")
-
-
-def train(docs: DataFrame, v: Vocabulary, share: Callable[[], Vocabulary]) -> np.ndarray:
-    """The weights after ROUNDS rounds."""
+def train(segments: DataFrame, v: Vocabulary, share: Callable[[], Vocabulary]) -> np.ndarray:
+    """The weights after ROUNDS rounds over stored segments."""
     flat = Model.initial(v).flat
-    segments = durable(_segments(docs, share))
     n = segments.count()
     if not n:
         return flat
-    dealt = segments.repartition(max(1, -(-n // SEGMENTS_PER_TRAINER)), F.xxhash64("ids"))
+    dealt = segments.coalesce(max(1, -(-n // SEGMENTS_PER_TRAINER)))
     for _ in range(ROUNDS):
-        start = docs.sparkSession.sparkContext.broadcast(flat)
+        start = segments.sparkSession.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            m, old = Model(start.value.copy()), Model(np.zeros(Model.SIZE, np.float32))
+            m, old, v = Model(start.value.copy()), Model(np.zeros(Model.SIZE, np.float32)), share()
             waiting, tokens = [], 0
             for b in batches:
                 waiting += b.column(0).to_pylist()
                 while len(waiting) >= STREAMS:
-                    tokens += _go_over(m, old, waiting[:STREAMS])
+                    tokens += _go_over(m, old, v, waiting[:STREAMS])
                     waiting = waiting[STREAMS:]
             if waiting:
-                tokens += _go_over(m, old, waiting)
-            parts = np.array_split(m.flat.astype(np.float64) * tokens, PARTS)
+                tokens += _go_over(m, old, v, waiting)
+            if not tokens:
+                return
+            parts = np.array_split(m.flat, PARTS)
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId() % SALTS] * PARTS, pa.int32()), pa.array([tokens] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "salt", "tokens", "w"])
 
         def add(frame: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(w) for w in frame["w"])
-            return pd.DataFrame({"part": frame["part"].iloc[:1], "salt": [0], "tokens": [int(frame["tokens"].sum())], "w": [total.tobytes()]})
+            share = frame["tokens"] / frame["tokens"].sum()
+            mean = sum(np.frombuffer(w, np.float32).astype(np.float64) * x for w, x in zip(frame["w"], share, strict=True))
+            return pd.DataFrame({"part": frame["part"].iloc[:1], "salt": [0], "tokens": [int(frame["tokens"].sum())], "w": [mean.astype(np.float32).tobytes()]})
 
         kind = "part int, salt int, tokens long, w binary"
         sums = dealt.mapInArrow(run, kind).groupBy("part", "salt").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind)
         rows = sorted(sums.collect(), key=lambda r: r.part)  # PARTS pieces of one model
-        flat = np.concatenate([np.frombuffer(r.w) / max(1, r.tokens) for r in rows]).astype(np.float32)
+        flat = np.concatenate([np.frombuffer(r.w, np.float32) for r in rows])
     return flat
 
 
-def _go_over(m: Model, old: Model, segments: list[bytes]) -> int:
-    ids = np.stack([np.frombuffer(s, "<i4") for s in segments]).T.astype(np.int64)
+def _go_over(m: Model, old: Model, v: Vocabulary, segments: list[bytes]) -> int:
+    hashes = np.stack([np.frombuffer(s, np.int64) for s in segments]).T
+    ids = v.of(hashes.reshape(-1))[0].reshape(hashes.shape).astype(np.int64)
     h = np.zeros((ids.shape[1], HIDDEN), np.float32)
     for t in range(0, len(ids) - 1, WINDOW):
         x = ids[t : min(t + WINDOW, len(ids) - 1)]
@@ -305,10 +319,11 @@ def score(docs: DataFrame, learned: Column) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for all docs, learned from those where `learned`."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    table = durable(counts(docs.where(learned)))
+    gathered = durable(gather(docs.where(learned)))
+    table = durable(gathered.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
     v = vocabulary(table)
     shared = spark.sparkContext.broadcast(v)
-    weights = spark.sparkContext.broadcast(train(docs.where(learned), v, lambda: shared.value))
+    weights = spark.sparkContext.broadcast(train(gathered.where("segment is not null").select("segment"), v, lambda: shared.value))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m, hashes = shared.value, Model(weights.value), _Hashes()
