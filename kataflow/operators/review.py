@@ -24,11 +24,10 @@ def scan_metrics(rows: DataFrame, headwords: DataFrame, most: int = MOST) -> Dat
     The last row kept (one row on the driver) gives the place where the scan ends; the rest is one aggregate, without
     a global window.
     """
-    kept = non_headwords(rows, headwords, most)
-    last = kept.orderBy(F.asc("occurrences"), F.desc("token")).limit(1).collect()
+    end = non_headwords(rows, headwords, most).agg(F.count("*").alias("n"), F.max(F.struct((-F.col("occurrences")).alias("low"), "token")).alias("last")).first()
     inside = F.lit(True)
-    if last and kept.count() == most:
-        low, upto = last[0].occurrences, last[0].token
+    if end.n == most:
+        low, upto = -end.last.low, end.last.token
         inside = (F.col("occurrences") > low) | ((F.col("occurrences") == low) & (F.col("token") <= upto))
     words = headwords.select(F.col("headword").alias("_w"), F.lit(1).alias("_hit"))
     marked = rows.where(inside).join(words, F.lower("token") == F.col("_w"), "left")
