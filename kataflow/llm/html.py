@@ -8,8 +8,9 @@ Equal streams are counted first and wrappers are merged in two rounds, so that n
 link texts and template texts are summed by (host, path) over all pages.
 
 The main part of a host is the wrapper's article (or main) where it has one, else the container with the most text that
-differs between pages. The text of a page is that of the slots below it, without boilerplate: sections that tags,
-roles or class words tell to be menus, notices and so on, containers of links, and template texts outside flowing text.
+differs between pages. The text of a page is that of the slots below it, without boilerplate: sections and blocks that
+tags, roles or class words tell to be menus, notices and so on; and where no article is marked, also containers of links
+and template texts in containers of their own.
 White space becomes one space; blocks are joined by one space; a break counts as white space.
 
 Null and empty pages give ''. A host that has one page or a page that fits no wrapper is judged by the page alone. Repeated
@@ -36,11 +37,13 @@ from kataflow.llm.common import chunks, durable
 #: Broadcast wrappers up to so many characters in all; beyond it hosts are joined by a shuffle.
 BROADCAST_CHARS = 8_000_000
 SALTS = 16
-CONTAINERS = frozenset("html head body div section article main nav header footer aside form dialog menu fieldset figure details center td".split())
+CONTAINERS = frozenset("html head body div section article main nav header footer aside form dialog menu fieldset figure details center".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER_TAGS = frozenset("head nav footer aside form dialog menu fieldset".split())
-BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
+BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar".split())
+#: Class words that say what a section has or lacks, not what it is.
+ABOUT_WORDS = frozenset("no not without with has hide show".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|canvas|audio|video|math)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)"
@@ -54,17 +57,24 @@ _LETTERS = re.compile("[a-z]+")
 
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
     """A container's token, and whether its tag, role or class words tell boilerplate."""
-    words, role = [], ""
+    words, role, named, whole = [], "", False, set()
     for kind, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
         value = "".join(values).lower()
         if kind.lower() == "role":
             role = value.strip()
-        else:
-            words += _LETTERS.findall(re.sub("[0-9]+", " ", value))
-    boiler = tag in BOILER_TAGS or role in BOILER_ROLES or not BOILER_WORDS.isdisjoint(words) or bool(attributes and _HIDDEN.search(attributes))
-    if role == "main":
-        tag = "main"
-    return ".".join([tag, *dict.fromkeys(words)]), boiler and not (tag in ("html", "body", "article", "main") and tag not in BOILER_TAGS and "comment" not in words and "comments" not in words)
+            continue
+        for name in value.split():
+            own = _LETTERS.findall(re.sub("[0-9]+", " ", name))
+            words += own
+            whole.add(name)
+            named |= not BOILER_WORDS.isdisjoint(own) and ABOUT_WORDS.isdisjoint(own)
+    if tag in ("html", "body"):
+        boiler = False
+    elif tag in ("article", "main"):
+        boiler = not whole.isdisjoint(("comment", "comments", "reply"))
+    else:
+        boiler = tag in BOILER_TAGS or role in BOILER_ROLES or named or bool(attributes and _HIDDEN.search(attributes))
+    return ".".join(["main" if role == "main" else tag, *dict.fromkeys(words)]), boiler
 
 
 class Page:
@@ -101,7 +111,10 @@ class Page:
                 if tag == "a":
                     link = 0 if m[2] else 1
                 continue
-            if tag not in CONTAINERS:
+            if stack and stack[-1][0] == "p" and tag != "br" and not m[2] or stack and stack[-1][0] == tag == "li" and not m[2]:
+                close_slot()  # the paragraph or list item before ends here
+                pop()
+            if tag not in CONTAINERS and not (any(t == tag for t, _, _ in stack) if m[2] else tag not in VOID and _label(tag, m[4])[1]):
                 pieces.append(" ")
                 continue
             close_slot()
@@ -354,21 +367,18 @@ def choose(wrapper: list, pages: int, slots: list[dict]) -> tuple[str, list[str]
                     break
         return {p: c for p, c in found.items() if not known or p in known} or found
 
-    main = ""
     for tag in ("article", "main"):
         if found := named(tag):
-            main = min(found, key=lambda p: (-found[p], p))
-            break
-    else:
-        # The deepest container that holds most of the text that differs and isn't links.
-        total: dict[str, int] = {}
-        for s in varied:
-            parts = s["path"].split(" ")
-            for k in range(len(parts) + 1):
-                p = " ".join(parts[:k])
-                total[p] = total.get(p, 0) + max(0, s["chars"] - s["linked"])
-        most = total.get("", 0)
-        main = max((p for p, c in total.items() if c >= 0.8 * most), key=lambda p: (p.count(" ") + bool(p), p), default="")
+            return min(found, key=lambda p: (-found[p], p)), []  # the page says what its article is
+    # The deepest container that holds most of the text that differs and isn't links.
+    total: dict[str, int] = {}
+    for s in varied:
+        parts = s["path"].split(" ")
+        for k in range(len(parts) + 1):
+            p = " ".join(parts[:k])
+            total[p] = total.get(p, 0) + max(0, s["chars"] - s["linked"])
+    most = total.get("", 0)
+    main = max((p for p, c in total.items() if c >= 0.8 * most), key=lambda p: (p.count(" ") + bool(p), p), default="")
     template = [
         s["path"] for s in text
         if s["path"] != main and f"{s['path']} ".startswith(f"{main} ".lstrip()) and (s["same"] and s["n"] >= max(3, pages) and any(not t["same"] for t in text) or s["linked"] > 0.6 * max(1, s["chars"]))

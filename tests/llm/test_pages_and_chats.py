@@ -27,6 +27,15 @@ def test_extraction(spark, monkeypatch):
     assert html.extract(frame(spark, pages).limit(0)).count() == 0
 
 
+def test_classes_of_any_block(spark):
+    page = (
+        '<body class="has-comments"><div class="content with-sidebar"><p>One {0}<p class="ad">Buy now<p>Two {0} <ul class="related"><li>x<li>y</ul><ul><li>a<li class="share">s<li>b</ul>'
+        '<div class="elementor-widget-text">Three {0}</div><div class="cookie-notice">We</div><h2 hidden>No</h2><table><tr><td>c<td>d</table></div><div id="comments"><article class="comment">Nice</article></div></body>'
+    )
+    got = html.extract(frame(spark, [("http://j.org/", page.format(i)) for i in range(3)]))
+    assert [r.text for r in got.orderBy("page_id").collect()] == [f"One {i} Two {i} a b Three {i} c d" for i in range(3)]
+
+
 def test_article_first(spark):
     page = '<body><nav>menu</nav><div class="ad">Buy</div><article><h1>H{0}</h1><p><b>One {0}<br><p>Two</article><div class="story">teaser {0} {0} {0} {0} {0} {0} {0}</div><footer>f'
     got = html.extract(frame(spark, [("http://h.org/", page.format(i)) for i in range(3)]))
