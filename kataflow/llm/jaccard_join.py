@@ -8,7 +8,7 @@
    list. Short lists give their pairs. In a long list every node is compared with the hub (its best connected node);
    links to the hub connect them, and what is left is compared by pairs only where the triangle inequality of the
    Jaccard distance, sizes, positions and the components so far leave it open. So groups of copies cost links, not pairs.
-   Pairs whose SKETCH_BITS parity bits differ more than sets at 0.9 can are dropped before anything is fetched.
+   Pairs whose parity bits (SKETCH_BITS or more) differ more than sets at 0.9 can are dropped before anything is fetched.
 4. Candidates are verified exactly: the n-gram order is cut into FRAGMENTS, overlaps of each pair are counted in each
    fragment on its own, and the counts are summed per pair.
 
@@ -34,6 +34,7 @@ WIDTH, FRAGMENTS, SHORT = 3, 8, 8
 HOT, COUNTING, HOT_IN_TASK, HOT_IN_ALL = 1 << 18, 1 << 20, 4, 24
 #: Bits of the filter that says which nodes have candidates (4 MB when broadcast).
 FILTER_BITS = 1 << 25
+#: Least bits of a sketch.
 SKETCH_BITS = 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOP = np.uint64(1 << 63)
@@ -67,8 +68,13 @@ class Sets:
 
 
 def _sketch(ids: np.ndarray) -> np.ndarray:
-    """Parities of the set's members by their low bits: sets that differ in d members differ in d bits at most."""
-    odd = np.bincount((ids & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Parities of the set's members by their low bits: sets that differ in d members differ in d bits at most.
+
+    Longer sets have more bits, a power of two, so that unrelated ones differ in more bits than sets at 0.9 may; halves
+    of a sketch, combined by XOR, are the sketch with half the bits.
+    """
+    bits = max(SKETCH_BITS, 1 << (len(ids) // 2).bit_length())
+    odd = np.bincount((ids & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -205,7 +211,10 @@ def _verified(docs: DataFrame, hot: np.ndarray, pairs: DataFrame) -> DataFrame:
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """pairs whose sketches allow 0.9: sets at 0.9 differ in (na + nb) / 19 members at most."""
     x, y = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("_x")), nodes.select(F.col("key").alias("b"), F.col("sketch").alias("_y"))
-    bits = F.aggregate(F.zip_with("_x", "_y", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
+    # Sizes that can reach 0.9 have sketches of the same length, or one of twice the other's.
+    n, xor = F.least(F.size("_x"), F.size("_y")), lambda u, v: u.bitwiseXOR(v)
+    folded = [F.when(F.size(c) > n, F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), xor)).otherwise(F.col(c)) for c in ("_x", "_y")]
+    bits = F.aggregate(F.zip_with(*folded, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
     return pairs.join(x, "a").join(y, "b").where(19 * bits <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb")
 
 
