@@ -153,6 +153,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, mode: str =
     def cut(texts: pd.Series, hits: pd.Series) -> pd.Series:
         out = []
         for t, h in zip(texts, hits, strict=True):
+            if t is None or not len(h):
+                out.append(t)
+                continue
             at = [m.span() for m in _WORD.finditer(t)]
             pos, parts = 0, []
             for x in h:
