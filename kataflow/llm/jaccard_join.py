@@ -305,5 +305,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that link, over any chain, to one of a smaller doc_id; rows that repeat whole stay once."""
     kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
-    once = docs.where("doc_id is not null").withColumn("_nth", nth).where("_nth = 1").join(kept, "doc_id", "left_semi")
+    # Dealt once, by doc_id: that serves the window and the join.
+    once = docs.where("doc_id is not null").repartition("doc_id").withColumn("_nth", nth).where("_nth = 1").join(kept, "doc_id", "left_semi")
     return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
