@@ -208,14 +208,21 @@ def _verified(docs: DataFrame, hot: np.ndarray, pairs: DataFrame) -> DataFrame:
     return durable(summed.select("a", "b", "na", "nb", "common"))
 
 
+def _near(x: Column, y: Column, na: Column, nb: Column) -> Column:
+    """Whether two sketches allow 0.9: sets at 0.9 differ in (na + nb) / 19 members at most.
+
+    Sizes that can reach 0.9 have sketches of the same length, or one of twice the other's.
+    """
+    n, xor = F.least(F.size(x), F.size(y)), lambda u, v: u.bitwiseXOR(v)
+    folded = [F.when(F.size(c) > n, F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), xor)).otherwise(c) for c in (x, y)]
+    bits = F.aggregate(F.zip_with(*folded, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
+    return 19 * bits <= na + nb
+
+
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs whose sketches allow 0.9: sets at 0.9 differ in (na + nb) / 19 members at most."""
+    """pairs whose sketches allow 0.9."""
     x, y = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("_x")), nodes.select(F.col("key").alias("b"), F.col("sketch").alias("_y"))
-    # Sizes that can reach 0.9 have sketches of the same length, or one of twice the other's.
-    n, xor = F.least(F.size("_x"), F.size("_y")), lambda u, v: u.bitwiseXOR(v)
-    folded = [F.when(F.size(c) > n, F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), xor)).otherwise(F.col(c)) for c in ("_x", "_y")]
-    bits = F.aggregate(F.zip_with(*folded, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
-    return pairs.join(x, "a").join(y, "b").where(19 * bits <= F.col("na") + F.col("nb")).select("a", "b", "na", "nb")
+    return pairs.join(x, "a").join(y, "b").where(_near(F.col("_x"), F.col("_y"), F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
 
 
 LINKED = "100 * common >= 90 * (na + nb - common)"
@@ -273,14 +280,15 @@ def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
     # What the hub leaves open in its list: pairs with a node that isn't linked to it, of different components so far.
     group = components(found).select(F.col("node").alias("key"), "label")
     last = _distance(members, checked, "d").withColumn("open", F.coalesce(F.col("d") > 0.1 + 1e-12, F.lit(True)))
-    last = durable(last.join(group, "key", "left").withColumn("label", F.coalesce("label", "key")).select("place", "key", "n", "pos", "d", "open", "label"))
+    last = durable(last.join(group, "key", "left").withColumn("label", F.coalesce("label", "key")).join(nodes, "key").select("place", "key", "n", "pos", "d", "open", "label", "sketch"))
     near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 0.1 + 1e-9, F.lit(True))
     rest = (
         last.where("open").alias("x").join(last.alias("y"), "place")
         .where((F.col("x.label") != F.col("y.label")) & (~F.col("y.open") | (F.col("x.key") < F.col("y.key"))) & _may(F.col("x.n"), F.col("y.n")) & _bound("x", "y") & near)
+        .where(_near(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n")))  # part of the join: no pair leaves it that can't link
         .select(*_pair("x", "y")).distinct()
     )
-    rest = durable(_close(rest, nodes))
+    rest = durable(rest)
     if rest.limit(1).count() == 0:
         return found
     return found.union(_verified(docs, hot, rest).where(LINKED).select("a", "b"))
