@@ -13,6 +13,9 @@ from kataflow.llm import decontamination, jaccard_join, packing, pii, quality
 from kataflow.llm.common import durable, table
 from kataflow.llm.queries import tokenizer_path
 
+#: What near duplicates are; op7_jaccard has a contract of its own.
+NEAR = jaccard_join.Rule(width=5, percent=80)
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at quality.KEEP or more; learned from the labels outside the held-out fold."""
@@ -21,8 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near duplicates."""
-    return jaccard_join.keep_one(docs)
+    """The document of the smallest doc_id of each group of near duplicates: sets of 5 words at 0.8 or more, over any chain."""
+    return jaccard_join.keep_one(docs, NEAR)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Similarity join on sets of word 3-grams: Jaccard of at least 0.9, by vertical partitioning of the n-gram order.
+"""Similarity join on sets of word n-grams, by vertical partitioning of the n-gram order.
+
+A Rule says how many words an n-gram has and the least Jaccard similarity, t below: 3 words and 0.9 unless told otherwise.
 
 1. One pass hashes each whole text into its set of n-grams. Documents with equal sets are one node from here on (the
    64-bit hash of the sorted set with the set's size; a clash is expected once in 10^9 distinct sets at odds of 1:40).
 2. The global n-gram order puts frequent n-grams last. Which are frequent is counted over all documents by lossy counting
    in each task and summed; any total order gives exact results, so the bounded list of HOT n-grams only saves work.
-3. Two sets at 0.9 share an n-gram among the first n - ceil(0.9 n) + 1 of each. Nodes that share such an n-gram form a
+3. Two sets at t share an n-gram among the first n - ceil(t n) + 1 of each. Nodes that share such an n-gram form a
    list. Short lists give their pairs. In a long list every node is compared with the hub (its best connected node);
    links to the hub connect them, and what is left is compared by pairs only where the triangle inequality of the
    Jaccard distance, sizes, positions and the components so far leave it open. So groups of copies cost links, not pairs.
-   Pairs whose parity bits (SKETCH_BITS or more) differ more than sets at 0.9 can are dropped before anything is fetched.
+   Pairs whose parity bits (SKETCH_BITS or more) differ more than sets at t can are dropped before anything is fetched.
 4. Candidates are verified exactly: the n-gram order is cut into FRAGMENTS, overlaps of each pair are counted in each
    fragment on its own, and the counts are summed per pair.
 
@@ -19,6 +21,7 @@ others. An empty table gives no rows. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from kataflow.llm.common import chunks, durable, mix
 from kataflow.llm.components import components
 
-WIDTH, FRAGMENTS, SHORT = 3, 8, 8
+FRAGMENTS, SHORT = 8, 8
 #: Entries of the list of frequent n-grams (2 MB when broadcast), how many a task counts at once, least counts.
 HOT, COUNTING, HOT_IN_TASK, HOT_IN_ALL = 1 << 18, 1 << 20, 4, 24
 #: Bits of the filter that says which nodes have candidates (4 MB when broadcast).
@@ -40,6 +43,18 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _TOP = np.uint64(1 << 63)
 
 
+class Rule(NamedTuple):
+    """Words of an n-gram, and the least similarity in percent: over 50 (see _near)."""
+
+    width: int = 3
+    percent: int = 90
+
+    @property
+    def far(self) -> float:
+        """The greatest distance of a link."""
+        return (100 - self.percent) / 100
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1_000_000:
@@ -51,7 +66,7 @@ class _Hashes(dict):
 class Sets:
     """Texts to sorted sets of 63-bit n-gram hashes."""
 
-    def __init__(self, width: int = WIDTH):
+    def __init__(self, width: int):
         self.width, self.hash = width, _Hashes()
         self.factor = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -70,7 +85,7 @@ class Sets:
 def _sketch(ids: np.ndarray) -> np.ndarray:
     """Parities of the set's members by their low bits: sets that differ in d members differ in d bits at most.
 
-    Longer sets have more bits, a power of two, so that unrelated ones differ in more bits than sets at 0.9 may; halves
+    Longer sets have more bits, a power of two, so that unrelated ones differ in more bits than sets at t may; halves
     of a sketch, combined by XOR, are the sketch with half the bits.
     """
     bits = max(SKETCH_BITS, 1 << (len(ids) // 2).bit_length())
@@ -82,11 +97,11 @@ def _key(ids: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(ids.tobytes()) - (1 << 63)
 
 
-def _signatures(docs: DataFrame) -> DataFrame:
+def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     """Rows of documents (doc_id, n, key, sketch) and of frequent n-grams of a task (gram, times), told apart by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, grams, times, waiting, held = Sets(), np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+        sets, grams, times, waiting, held = Sets(rule.width), np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
         names, words = ["doc_id", "n", "key", "sketch", "gram", "times"], pa.list_(pa.int64())
 
         def count() -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +147,12 @@ class Order:
         return np.sort(np.where(self.grams[at] == ids, _TOP + self.rank[at], ids))
 
 
-def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, hot: np.ndarray, rule: Rule) -> DataFrame:
     """(place, key, n, pos): the n-grams of each set among which one must be shared."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, order, seen = Sets(), Order(shared.value), set()
+        sets, order, seen = Sets(rule.width), Order(shared.value), set()
         for _, texts in chunks(batches, "text"):
             places, keys, sizes, width = [], [], [], []
             for t in texts:
@@ -147,7 +162,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     continue
                 seen.add(key)
                 n = len(ids)
-                p = n - -(-9 * n // 10) + 1
+                p = n - -(-rule.percent * n // 100) + 1
                 places.append(order.place(ids)[:p])
                 keys.append(key)
                 sizes.append(n)
@@ -159,14 +174,14 @@ def _prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "place long, key long, n int, pos int")
 
 
-def _segments(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray) -> DataFrame:
+def _segments(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray, rule: Rule) -> DataFrame:
     """(key, fragment, ids): the sets of nodes that pass the filter, cut at fixed points of the global order."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, wanted))
     cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 63) // (FRAGMENTS - 1)))[: FRAGMENTS - 2]
     cuts = np.append(cuts, _TOP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, seen = Sets(), set()
+        sets, seen = Sets(rule.width), set()
         order, bits = Order(shared.value[0]), shared.value[1]
         for _, texts in chunks(batches, "text"):
             out: tuple[list, list, list] = ([], [], [])
@@ -191,7 +206,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("na"), b.column("nb"), pa.array(n, pa.int64())], ["a", "b", "na", "nb", "common"])
 
 
-def _verified(docs: DataFrame, hot: np.ndarray, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, hot: np.ndarray, pairs: DataFrame, rule: Rule) -> DataFrame:
     """pairs (a, b, na, nb) with their Jaccard similarity: partial overlaps by fragment, summed per pair."""
     pairs = durable(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(F.pmod("key", F.lit(FILTER_BITS)).alias("bit"))
@@ -199,7 +214,7 @@ def _verified(docs: DataFrame, hot: np.ndarray, pairs: DataFrame) -> DataFrame:
     wanted = np.zeros(FILTER_BITS // 32, "<u4")
     for r in words:
         wanted[r.w] = r.v
-    cut = durable(_segments(docs, hot, wanted.view(np.uint8)).groupBy("key", "fragment").agg(F.first("ids").alias("ids")))
+    cut = durable(_segments(docs, hot, wanted.view(np.uint8), rule).groupBy("key", "fragment").agg(F.first("ids").alias("ids")))
     x = cut.select(F.col("key").alias("a"), "fragment", F.col("ids").alias("x"))
     y = cut.select(F.col("key").alias("b"), "fragment", F.col("ids").alias("y"))
     met = pairs.join(x, "a").join(y, ["b", "fragment"]).where("length(x) > 0 and length(y) > 0")
@@ -208,36 +223,37 @@ def _verified(docs: DataFrame, hot: np.ndarray, pairs: DataFrame) -> DataFrame:
     return durable(summed.select("a", "b", "na", "nb", "common"))
 
 
-def _near(x: Column, y: Column, na: Column, nb: Column) -> Column:
-    """Whether two sketches allow 0.9: sets at 0.9 differ in (na + nb) / 19 members at most.
+def _near(x: Column, y: Column, na: Column, nb: Column, rule: Rule) -> Column:
+    """Whether two sketches allow t: sets at t differ in (na + nb) (1 - t) / (1 + t) members at most.
 
-    Sizes that can reach 0.9 have sketches of the same length, or one of twice the other's.
+    Sizes that can reach a t over 0.5 have sketches of the same length, or one of twice the other's.
     """
     n, xor = F.least(F.size(x), F.size(y)), lambda u, v: u.bitwiseXOR(v)
     folded = [F.when(F.size(c) > n, F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, n + 1, n), xor)).otherwise(c) for c in (x, y)]
     bits = F.aggregate(F.zip_with(*folded, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, c: s + c)
-    return 19 * bits <= na + nb
+    return (100 + rule.percent) * bits <= (100 - rule.percent) * (na + nb)
 
 
-def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """pairs whose sketches allow 0.9."""
+def _close(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """pairs whose sketches allow t."""
     x, y = nodes.select(F.col("key").alias("a"), F.col("sketch").alias("_x")), nodes.select(F.col("key").alias("b"), F.col("sketch").alias("_y"))
-    return pairs.join(x, "a").join(y, "b").where(_near(F.col("_x"), F.col("_y"), F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
+    return pairs.join(x, "a").join(y, "b").where(_near(F.col("_x"), F.col("_y"), F.col("na"), F.col("nb"), rule)).select("a", "b", "na", "nb")
 
 
-LINKED = "100 * common >= 90 * (na + nb - common)"
+def _linked(rule: Rule) -> str:
+    return f"100 * common >= {rule.percent} * (na + nb - common)"
 
 
-def _may(na: Column, nb: Column) -> Column:
-    """Sizes that can reach 0.9."""
-    return (10 * na >= 9 * nb) & (10 * nb >= 9 * na)
+def _may(na: Column, nb: Column, rule: Rule) -> Column:
+    """Sizes that can reach t."""
+    return (100 * na >= rule.percent * nb) & (100 * nb >= rule.percent * na)
 
 
-def _bound(x: str, y: str) -> Column:
+def _bound(x: str, y: str, rule: Rule) -> Column:
     """Overlap still possible when the first n-gram in common is this one."""
     c = F.col
     most = 1 + F.least(c(f"{x}.n") - c(f"{x}.pos"), c(f"{y}.n") - c(f"{y}.pos"))
-    return 19 * most >= 9 * (c(f"{x}.n") + c(f"{y}.n"))
+    return (100 + rule.percent) * most >= rule.percent * (c(f"{x}.n") + c(f"{y}.n"))
 
 
 def _pair(x: str, y: str) -> list[Column]:
@@ -253,65 +269,65 @@ def _distance(members: DataFrame, checked: DataFrame, name: str) -> DataFrame:
     return keyed.join(d, ["a", "b"], "left").drop("a", "b").withColumn(name, F.when(F.col("key") == F.col("hub"), 0.0).otherwise(F.col(name)))
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
+def _hub_pairs(members: DataFrame, rule: Rule) -> DataFrame:
     most = 1 + F.least(F.col("n") - F.col("pos"), F.col("hub_n") - F.col("hub_pos"))
-    pairs = members.where((F.col("key") != F.col("hub")) & _may(F.col("n"), F.col("hub_n")) & (19 * most >= 9 * (F.col("n") + F.col("hub_n"))))
+    pairs = members.where((F.col("key") != F.col("hub")) & _may(F.col("n"), F.col("hub_n"), rule) & ((100 + rule.percent) * most >= rule.percent * (F.col("n") + F.col("hub_n"))))
     first = F.col("key") < F.col("hub")
     return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"), F.when(first, F.col("n")).otherwise(F.col("hub_n")).alias("na"), F.when(first, F.col("hub_n")).otherwise(F.col("n")).alias("nb")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(a, b) of nodes at 0.9 or more: enough of them to connect all that any link connects."""
+def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray, rule: Rule) -> DataFrame:
+    """(a, b) of nodes at t or more: enough of them to connect all that any link connects."""
     # One exchange by place serves the removal of repeated nodes, the counts and the join of both.
-    rows = _prefixes(docs, hot).repartition("place").groupBy("place", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    rows = _prefixes(docs, hot, rule).repartition("place").groupBy("place", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     # (The maxima are always positive; asking for them lets both sides read the same columns and so the same exchange.)
     lists = rows.groupBy("place").agg(F.count("*").alias("k"), F.max("n").alias("_n"), F.max("pos").alias("_p")).where("k > 1 and _n > 0 and _p > 0").select("place", "k")
     shared = durable(rows.join(lists, "place"))
     few = shared.where(F.col("k") <= SHORT)
-    short = few.alias("x").join(few.alias("y"), "place").where((F.col("x.key") < F.col("y.key")) & _may(F.col("x.n"), F.col("y.n")) & _bound("x", "y")).select(*_pair("x", "y")).distinct()
+    short = few.alias("x").join(few.alias("y"), "place").where((F.col("x.key") < F.col("y.key")) & _may(F.col("x.n"), F.col("y.n"), rule) & _bound("x", "y", rule)).select(*_pair("x", "y")).distinct()
 
     score = shared.groupBy("key").agg((F.count("*") / F.first("n")).alias("score"))
     many = shared.where(F.col("k") > SHORT).join(score, "key")
     hub = many.groupBy("place").agg(F.max(F.struct("score", "key", "n", "pos")).alias("h")).select("place", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
     members = durable(many.join(hub, "place"))
-    checked = _verified(docs, hot, _close(short.unionByName(_hub_pairs(members)).distinct(), nodes))
-    found = durable(checked.where(LINKED).select("a", "b"))
+    checked = _verified(docs, hot, _close(short.unionByName(_hub_pairs(members, rule)).distinct(), nodes, rule), rule)
+    found = durable(checked.where(_linked(rule)).select("a", "b"))
 
     # What the hub leaves open in its list: pairs with a node that isn't linked to it, of different components so far.
     group = components(found).select(F.col("node").alias("key"), "label")
-    last = _distance(members, checked, "d").withColumn("open", F.coalesce(F.col("d") > 0.1 + 1e-12, F.lit(True)))
+    last = _distance(members, checked, "d").withColumn("open", F.coalesce(F.col("d") > rule.far + 1e-12, F.lit(True)))
     last = durable(last.join(group, "key", "left").withColumn("label", F.coalesce("label", "key")).join(nodes, "key").select("place", "key", "n", "pos", "d", "open", "label", "sketch"))
-    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 0.1 + 1e-9, F.lit(True))
+    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= rule.far + 1e-9, F.lit(True))
     rest = (
         last.where("open").alias("x").join(last.alias("y"), "place")
-        .where((F.col("x.label") != F.col("y.label")) & (~F.col("y.open") | (F.col("x.key") < F.col("y.key"))) & _may(F.col("x.n"), F.col("y.n")) & _bound("x", "y") & near)
-        .where(_near(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n")))  # part of the join: no pair leaves it that can't link
+        .where((F.col("x.label") != F.col("y.label")) & (~F.col("y.open") | (F.col("x.key") < F.col("y.key"))) & _may(F.col("x.n"), F.col("y.n"), rule) & _bound("x", "y", rule) & near)
+        .where(_near(F.col("x.sketch"), F.col("y.sketch"), F.col("x.n"), F.col("y.n"), rule))  # part of the join: no pair leaves it that can't link
         .select(*_pair("x", "y")).distinct()
     )
     rest = durable(rest)
     if rest.limit(1).count() == 0:
         return found
-    return found.union(_verified(docs, hot, rest).where(LINKED).select("a", "b"))
+    return found.union(_verified(docs, hot, rest, rule).where(_linked(rule)).select("a", "b"))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links reach from each document."""
     docs = docs.select("doc_id", "text")
-    first = durable(_signatures(docs))
+    first = durable(_signatures(docs, rule))
     top = first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_IN_ALL).orderBy(F.desc("times"), "gram").limit(HOT).select("gram").toPandas()
     hot = top["gram"].to_numpy().astype(np.uint64)[::-1]
     rows = first.where("gram is null").select("doc_id", "n", "key")
     nodes = durable(first.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")))
-    labels = components(links(docs, nodes.select("key", "sketch"), hot))
+    labels = components(links(docs, nodes.select("key", "sketch"), hot, rule))
     named = nodes.drop("sketch").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_key = named.select("key", "label").join(least, "label").select("key", "component_id")
     return rows.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """docs without those that link, over any chain, to one of a smaller doc_id; rows that repeat whole stay once."""
-    kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = join(docs, rule).where("doc_id = component_id").select("doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
     # Dealt once, by doc_id: that serves the window and the join.
     once = docs.where("doc_id is not null").repartition("doc_id").withColumn("_nth", nth).where("_nth = 1").join(kept, "doc_id", "left_semi")

@@ -50,7 +50,7 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"))
+    return jaccard_join.join(table(spark, sf_dir, "documents"), jaccard_join.Rule(width=3, percent=90))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,29 @@ def test_jaccard_join_is_exact(spark, odd, none):
     assert jaccard_join.join(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
 
 
+def brute_links(rows, width, percent):
+    sets = [(i, frozenset(tuple(w[k : k + width]) for k in range(max(len(w) - width + 1, min(len(w), 1))))) for i, w in ((i, words(t)) for i, t in rows)]
+    label = {i: i for i, _ in sets}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[:x]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return [(i, len(s), label[i]) for i, s in sets]
+
+
+def test_near_duplicate_stage_is_exact(spark):
+    import corpus_pipeline
+
+    rows = near_copies(3, 25, 5)
+    want, own = brute_links(rows, 5, 80), brute_links(rows, 3, 90)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.join(df, corpus_pipeline.NEAR).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+    kept = sorted(i for i, _, least in want if i == least)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == kept and kept != sorted(i for i, _, least in own if i == least)
+
+
 def test_frequent_grams_go_last():
     order = jaccard_join.Order(np.array([5, 3], np.uint64))
     assert order.place(np.array([1, 3, 5, 9], np.uint64)).tolist() == [1, 9, (1 << 63) + 0, (1 << 63) + 1]
