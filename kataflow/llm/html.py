@@ -7,7 +7,7 @@ only one side has become optional groups, and texts that differ between pages ar
 Equal streams are counted first and wrappers are merged in two rounds, so that no host meets in one task. Text amounts,
 link texts and template texts are summed by (host, path) over all pages.
 
-The main part of a host is the wrapper's article (or main) where it has one, else the container with the most text that
+The main part of a host is its article (or main) with the most text where it has one, alike on all pages or not, else the container with the most text that
 differs between pages. The text of a page is that of the slots below it, without boilerplate: sections and blocks that
 tags, roles or class words tell to be menus, notices and so on; and where no article is marked, also containers of links
 and template texts in containers of their own.
@@ -282,26 +282,28 @@ def _host(url: str | None) -> str:
 
 
 def _seen(pages: DataFrame) -> DataFrame:
-    """Rows (host, stream, path, boiler, chars, linked, low, high): a stream per page, then its slots by path."""
-    names = ["host", "stream", "path", "boiler", "chars", "linked", "low", "high"]
+    """Rows (host, stream, path, first, boiler, chars, linked, low, high): a stream per page, then its slots; first is 1 at a path's first slot."""
+    names = ["host", "stream", "path", "first", "boiler", "chars", "linked", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "html"):
             out: list[list] = [[] for _ in names]
             for url, source in zip(batch.column(0).to_pylist(), texts, strict=True):
                 host, page = _host(url), Page(source)
-                rows = [(host, json.dumps(page.stream), None, None, None, None, None, None)]
+                rows = [(host, json.dumps(page.stream), None, None, None, None, None, None, None)]
+                met: set[str] = set()
                 for path, boiler, pieces, linked in page.slots:
                     text = plain(pieces)
                     h = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    rows.append((host, None, path, boiler, len(text), linked, h, h))
+                    rows.append((host, None, path, int(path not in met), boiler, len(text), linked, h, h))
+                    met.add(path)
                 for r in rows:
                     for column, v in zip(out, r, strict=True):
                         column.append(v)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
 
-    return pages.select("url", "html").mapInArrow(run, "host string, stream string, path string, boiler boolean, chars long, linked long, low long, high long")
+    return pages.select("url", "html").mapInArrow(run, "host string, stream string, path string, first long, boiler boolean, chars long, linked long, low long, high long")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -321,7 +323,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     parts = salted.groupBy("host", "salt").applyInPandas(part, "host string, wrapper string, n long")
     whole = parts.groupBy("host").applyInPandas(merge, "host string, wrapper string, pages long")
     slots = seen.where("path is not null").groupBy("host", "path").agg(
-        F.count("*").alias("n"), F.max("boiler").alias("boiler"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (F.min("low") == F.max("high")).alias("same")
+        F.sum("first").alias("n"), F.max("boiler").alias("boiler"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (F.min("low") == F.max("high")).alias("same")
     )
     listed = slots.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "n", "boiler", "chars", "linked", "same"))).alias("slots"))
     both = whole.join(listed, "host", "left")
@@ -353,12 +355,14 @@ def _paths(wrapper: list) -> set[str]:
 def choose(wrapper: list, pages: int, slots: list[dict]) -> tuple[str, list[str]]:
     """The path of the main part and the paths below it whose texts are template."""
     text = [s for s in slots if not s["boiler"]]
-    varied = [s for s in text if not (s["same"] and pages > 1)] or text
+    # A path's equal texts tell template only where most pages have it: one that a single page has is equal to itself.
+    fixed = lambda s: s["same"] and s["n"] >= max(2, 0.8 * pages)
+    varied = [s for s in text if not fixed(s)] or text
     known = _paths(wrapper)
 
     def named(tag: str) -> dict[str, int]:
         found: dict[str, int] = {}
-        for s in varied:
+        for s in text:
             parts = s["path"].split(" ")
             for k, p in enumerate(parts):
                 if p.split(".")[0] == tag:
@@ -381,7 +385,7 @@ def choose(wrapper: list, pages: int, slots: list[dict]) -> tuple[str, list[str]
     main = max((p for p, c in total.items() if c >= 0.8 * most), key=lambda p: (p.count(" ") + bool(p), p), default="")
     template = [
         s["path"] for s in text
-        if s["path"] != main and f"{s['path']} ".startswith(f"{main} ".lstrip()) and (s["same"] and s["n"] >= max(3, pages) and any(not t["same"] for t in text) or s["linked"] > 0.6 * max(1, s["chars"]))
+        if s["path"] != main and f"{s['path']} ".startswith(f"{main} ".lstrip()) and (s["same"] and s["n"] >= max(3, pages) and any(not fixed(t) for t in text) or s["linked"] > 0.6 * max(1, s["chars"]))
     ]
     return main, sorted(template)
 

@@ -42,6 +42,25 @@ def test_article_first(spark):
     assert [r.text for r in got.orderBy("page_id").collect()] == [f"H{i} One {i} Two" for i in range(3)]
 
 
+def test_articles_with_words_of_their_own(spark):
+    page = '<body><div class="meta">Views {0}</div><article class="post tag-{1}" id="post-{1}"><p>About {1}<p>More on {1}</article><footer>f'
+    names = ["red", "green", "blue", "grey"]
+    got = html.extract(frame(spark, [("http://k.org/", page.format(i, w)) for i, w in enumerate(names)]))
+    assert [r.text for r in got.orderBy("page_id").collect()] == [f"About {w} More on {w}" for w in names]
+
+
+def test_copies_of_an_article(spark):
+    page = '<body><div class="meta">Views {0}</div><article><p>The same story<p>to its end</article><footer>f'
+    got = html.extract(frame(spark, [("http://l.org/", page.format(i)) for i in range(4)]))
+    assert [r.text for r in got.collect()] == ["The same story to its end"] * 4
+
+
+def test_containers_of_single_pages_count(spark):
+    page = '<body><div class="stamp">On {0}</div><div class="story-{1}"><p>A long text about {1} and what it is</div><footer>f'
+    got = html.extract(frame(spark, [("http://m.org/", page.format(i, w)) for i, w in enumerate(["red", "green", "blue"])]))
+    assert [f"A long text about {w} and what it is" in r.text for w, r in zip(["red", "green", "blue"], got.orderBy("page_id").collect(), strict=True)] == [True] * 3
+
+
 def test_wrappers():
     a = ["body", "nav", "#", "/nav", "div.card", "#", "/div.card", "div.card", "#", "/div.card", "/body"]
     b = ["body", "div.card", "#", "/div.card", "aside", "#", "/aside", "/body"]
