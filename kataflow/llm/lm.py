@@ -8,7 +8,7 @@ classes and the share of counts for the others; unseen words are one word of the
 Good-Turing gives it. So the probabilities of all words sum to one at every step.
 
 Training is by truncated backpropagation over windows of WINDOW tokens, the state carried through a segment of several.
-Of every STRIDE segments of the training text one is used, wherever it lies, so the training data grow with the input.
+All of the training text is used: a task's running text is cut into segments, and what is left at its end is one more.
 Every ROUND, trainers start from the same weights, each goes over its share of the segments, and the weights are averaged
 by tokens. Scoring runs texts side by side in windows, longest first, and carries each text's state to its end.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kataflow.llm.common import chunks, durable
 
 HEAD, CLASS, MIDDLE, POWERS, HIDDEN = 4096, 64, 1 << 18, 24, 32
-WINDOW, SEGMENT, STRIDE, ROUNDS, STREAMS, RATE = 32, 128, 8, 2, 64, 0.08
+WINDOW, SEGMENT, ROUNDS, STREAMS, RATE = 32, 128, 2, 64, 0.08
 SEGMENTS_PER_TRAINER, PARTS, SALTS, SCORED_CHARS = 4000, 16, 16, 5_000_000
 CLASSES = HEAD // CLASS + POWERS + 1
 RARE = HEAD + POWERS  # model ids: head words, powers of two of middle words, rare
@@ -52,15 +52,16 @@ class _Hashes(dict):
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """Rows (word, c): hashes and counts of a task's tokens; and rows (segment): the hashes of every STRIDE-th segment.
+    """Rows (word, c): hashes and counts of a task's tokens; and rows (segment): the hashes of its text, segment by segment.
 
-    Segments are SEGMENT + 1 tokens of the running text of a task, ends included, wherever they lie.
+    Segments are SEGMENT + 1 tokens of the running text of a task, ends included, the last token being the next one's first;
+    the rest of a task's text is a shorter one.
     """
     none = lambda n, t: pa.nulls(n, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, n = _Hashes(), [], 0
-        rest, nth = np.empty(0, np.int64), TaskContext.get().partitionId()
+        rest = np.empty(0, np.int64)
         found, c = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def count() -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +85,14 @@ def gather(docs: DataFrame) -> DataFrame:
                 found, c = found[:0], c[:0]
             flat = np.concatenate([rest, flat])
             full = (len(flat) - 1) // SEGMENT
-            parts = [flat[k * SEGMENT : k * SEGMENT + SEGMENT + 1].tobytes() for k in range(full) if (nth + k) % STRIDE == 0]
-            rest, nth = flat[full * SEGMENT :], nth + full
+            parts = [flat[k * SEGMENT : k * SEGMENT + SEGMENT + 1].tobytes() for k in range(full)]
+            rest = flat[full * SEGMENT :]
             if parts:
                 yield pa.RecordBatch.from_arrays([none(len(parts), pa.int64()), none(len(parts), pa.int64()), pa.array(parts, pa.binary())], ["word", "c", "segment"])
         if held:
             found, c = count()
+        if len(rest) > 1:
+            yield pa.RecordBatch.from_arrays([none(1, pa.int64()), none(1, pa.int64()), pa.array([rest.tobytes()], pa.binary())], ["word", "c", "segment"])
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c), none(len(found), pa.binary())], ["word", "c", "segment"])
 
     return docs.select("text").mapInArrow(run, "word long, c long, segment binary")
@@ -260,14 +263,17 @@ def train(segments: DataFrame, v: Vocabulary, share: Callable[[], Vocabulary]) -
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             m, old, v = Model(start.value.copy()), Model(np.zeros(Model.SIZE, np.float32)), share()
-            waiting, tokens = [], 0
+            waiting, rests, tokens = [], [], 0
             for b in batches:
-                waiting += b.column(0).to_pylist()
+                for s in b.column(0).to_pylist():
+                    (waiting if len(s) == 8 * (SEGMENT + 1) else rests).append(s)
                 while len(waiting) >= STREAMS:
                     tokens += _go_over(m, old, v, waiting[:STREAMS])
                     waiting = waiting[STREAMS:]
             if waiting:
                 tokens += _go_over(m, old, v, waiting)
+            for s in rests:
+                tokens += _go_over(m, old, v, [s])
             if not tokens:
                 return
             parts = np.array_split(m.flat, PARTS)

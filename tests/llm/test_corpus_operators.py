@@ -137,6 +137,25 @@ def test_topk_is_exact(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_all_training_text_is_learned_from(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in (0, 3, 700, 128, 40, 1500)]
+    gathered = lm.gather(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).where("segment is not null").collect()
+    segments = [np.frombuffer(r.segment, np.int64) for r in gathered]
+    whole = np.concatenate([h for t in texts for h in (np.fromiter((lm._Hashes()[w] for w in lm.words(t)), np.int64), [lm.END])])
+    # Each segment begins with the token that the one before ends with: all but the first token are learned once.
+    assert np.concatenate([segments[0], *(s[1:] for s in segments[1:])]).tolist() == whole.tolist()
+    assert len(segments[-1]) < lm.SEGMENT + 1
+    assert all(a[-1] == b[0] for a, b in zip(segments, segments[1:], strict=False))
+
+
+def test_short_training_text_trains(spark):
+    df = spark.createDataFrame([(k, "a b c d e f g h") for k in range(3)], "doc_id long, text string").coalesce(1)
+    v = lm.vocabulary(lm.gather(df).where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
+    segments = lm.gather(df).where("segment is not null").select("segment")
+    assert not np.array_equal(lm.train(segments, v, lambda: v), lm.Model.initial(v).flat)
+
+
 def test_blocks_are_skipped():
     rng = np.random.default_rng(1)
     blocks = [(np.arange(k * 50, k * 50 + 50), (rng.integers(0, 10, (50, 8)) * (100 if k == 3 else 1)).astype(np.int64)) for k in range(20)]
