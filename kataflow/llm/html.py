@@ -46,7 +46,7 @@ BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertisements adv
 ABOUT_WORDS = frozenset("no not without with has hide show".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|canvas|audio|video|math)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|select|textarea)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*>",
     re.S | re.I,
 )

@@ -61,6 +61,12 @@ def test_containers_of_single_pages_count(spark):
     assert [f"A long text about {w} and what it is" in r.text for w, r in zip(["red", "green", "blue"], got.orderBy("page_id").collect(), strict=True)] == [True] * 3
 
 
+def test_contents_of_other_elements_stay(spark):
+    page = '<body><article><p>Sum {0} <math><mi>x</mi><mo>=</mo><mn>{0}</mn></math> <noscript>plain</noscript> <button>press<p>after</p><video src=v>no video<p>end {0}</article>'
+    got = html.extract(frame(spark, [("http://n.org/", page.format(i)) for i in range(3)]))
+    assert [r.text for r in got.orderBy("page_id").collect()] == [f"Sum {i} x = {i} plain press after no video end {i}" for i in range(3)]
+
+
 def test_wrappers():
     a = ["body", "nav", "#", "/nav", "div.card", "#", "/div.card", "div.card", "#", "/div.card", "/body"]
     b = ["body", "div.card", "#", "/div.card", "aside", "#", "/aside", "/body"]
