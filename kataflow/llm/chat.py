@@ -12,7 +12,8 @@ with backslash, '#' and '<' of roles and texts written as \\\\, \\h and \\l (and
 text can end a turn or open one. The loss mask are the escaped texts of assistant messages, as code point spans.
 
 Empty logs give no rows; a null conversation is a conversation of its own; other columns are ignored. A conversation
-comes together in one row because its rendering is one string; messages fold before that, spread over all tasks.
+comes together in one row because its rendering is one string (some 500 million characters at most: an array of Spark's
+has 2 GB and the mask is read at four bytes a character); messages fold before that, spread over all tasks.
 """
 
 from __future__ import annotations
@@ -37,9 +38,21 @@ def _unescape(text: Column) -> Column:
 
 
 def log_rows(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log: one delta each; equal turns follow each other by role, then text."""
+    """Rows (conv_id, turn, role, text) as the log of a service that wrote them; equal turns follow each other by role, then text.
+
+    An assistant's message begins with a delta that a regeneration discards, then comes in two deltas; any other message
+    comes in one delta that an edit replaces by the whole text.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return conversations.select("conv_id", F.row_number().over(order).cast("long").alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    first, second = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
+    event = lambda seq, kind, part, role=F.lit(None).cast("string"): F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), part.alias("text"))
+    streamed = F.array(event(0, "delta", second, F.col("role")), event(1, "regenerate", F.lit("")), event(2, "delta", first), event(3, "delta", second))
+    edited = F.array(event(0, "delta", first, F.col("role")), event(1, "edit", text))
+    numbered = conversations.select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("message"))
+    events = numbered.select("conv_id", "message", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(edited)).alias("e"))
+    return events.select("conv_id", "message", "e.seq", "e.kind", "e.role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -80,10 +93,22 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.slice(turns, F.lit(1), F.size(turns) - 1), turn)
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The texts under the spans, unescaped, one after another.
+
+    Cut out of the code points at four bytes each, so that a span costs its own length wherever it stands.
+    """
+    points = F.encode(formatted, "UTF-32")
+    mark = F.lit(b"\x00\x00\xfe\xff")  # taken off by decode, so that a text's own first mark stays
+    cut = lambda x: F.decode(F.concat(mark, F.substring(points, x["start"] * 4 + 1, (x["end"] - x["start"]) * 4)), "UTF-32")
+    return F.array_join(F.transform(spans, lambda x: _unescape(cut(x))), "")
+
+
 def digest(rendered: DataFrame) -> DataFrame:
-    turns = rendered.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"))
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    both = turns.withColumn("said", said)
+    """The columns of the contract: turns read back from `formatted`, the loss from what the mask covers of it."""
+    both = rendered.select(
+        "conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"), parse(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss_spans")).alias("said")
+    )
     return both.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kataflow.llm.common import chunks, durable, mix
+from kataflow.llm.common import chunks, durable, mix, tidy
 
 WIDTH, BLOCK_CHARS = 10, 16_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -124,7 +124,7 @@ def _scan_block(docs: DataFrame, items: list[tuple[str, str]], width: int, again
             out = [pa.array(lengths), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *out], [f.name for f in schema])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:

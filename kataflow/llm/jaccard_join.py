@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kataflow.llm.common import chunks, durable, mix
+from kataflow.llm.common import CACHED_WORDS, chunks, durable, least_of, mix, tidy
 from kataflow.llm.components import components
 
 FRAGMENTS, SHORT = 8, 8
@@ -57,7 +57,7 @@ class Rule(NamedTuple):
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -130,7 +130,7 @@ def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
         none = pa.nulls(int(hot.sum()), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(int(hot.sum()), words), pa.array(grams[hot].astype(np.int64)), pa.array(times[hot])], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, key long, sketch array<long>, gram long, times long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n long, key long, sketch array<long>, gram long, times long")
 
 
 class Order:
@@ -160,6 +160,8 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, rule: Rule) -> DataFrame:
                 key = _key(ids)
                 if not len(ids) or key in seen:
                     continue
+                if len(seen) > CACHED_WORDS:  # it only saves work: copies met again are removed by key
+                    seen.clear()
                 seen.add(key)
                 n = len(ids)
                 p = n - -(-rule.percent * n // 100) + 1
@@ -171,7 +173,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, rule: Rule) -> DataFrame:
                 pos = np.concatenate([np.arange(1, p + 1) for p in width])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places).astype(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), width)), pa.array(np.repeat(sizes, width).astype(np.int32)), pa.array(pos.astype(np.int32))], ["place", "key", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "place long, key long, n int, pos int")
+    return docs.select("text").mapInArrow(tidy(run), "place long, key long, n int, pos int")
 
 
 def _segments(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray, rule: Rule) -> DataFrame:
@@ -191,13 +193,15 @@ def _segments(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray, rule: Rule)
                 bit = key % FILTER_BITS
                 if not len(ids) or key in seen or not bits[bit >> 3] >> (bit & 7) & 1:
                     continue
+                if len(seen) > CACHED_WORDS:
+                    seen.clear()
                 seen.add(key)
                 for k, part in enumerate(np.split(places := order.place(ids), np.searchsorted(places, cuts))):
                     for column, v in zip(out, (key, k, part.tobytes()), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["key", "fragment", "ids"])
 
-    return docs.select("text").mapInArrow(run, "key long, fragment int, ids binary")
+    return docs.select("text").mapInArrow(tidy(run), "key long, fragment int, ids binary")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +222,7 @@ def _verified(docs: DataFrame, hot: np.ndarray, pairs: DataFrame, rule: Rule) ->
     x = cut.select(F.col("key").alias("a"), "fragment", F.col("ids").alias("x"))
     y = cut.select(F.col("key").alias("b"), "fragment", F.col("ids").alias("y"))
     met = pairs.join(x, "a").join(y, ["b", "fragment"]).where("length(x) > 0 and length(y) > 0")
-    counted = met.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na int, nb int, common long")
+    counted = met.select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(_overlaps), "a long, b long, na int, nb int, common long")
     summed = counted.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return durable(summed.select("a", "b", "na", "nb", "common"))
 
@@ -314,8 +318,9 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links reach from each document."""
     docs = docs.select("doc_id", "text")
     first = durable(_signatures(docs, rule))
-    top = first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_IN_ALL).orderBy(F.desc("times"), "gram").limit(HOT).select("gram").toPandas()
-    hot = top["gram"].to_numpy().astype(np.uint64)[::-1]
+    grams = durable(first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_IN_ALL))
+    top = grams.where(F.col("times") >= least_of(grams, "times", HOT, HOT_IN_ALL)).toPandas().sort_values(["times", "gram"])  # HOT rows at most
+    hot = top["gram"].to_numpy().astype(np.uint64)
     rows = first.where("gram is null").select("doc_id", "n", "key")
     nodes = durable(first.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")))
     labels = components(links(docs, nodes.select("key", "sketch"), hot, rule))

@@ -18,33 +18,43 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kataflow.llm.common import chunks, durable
+from kataflow.llm.common import CACHED_WORDS, chunks, durable, tidy
 
 CAPACITY, END_ID = 4096, 2
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
-#: Pieces of one length that one task may rank.
-BUCKET_ROWS = 500
-#: Texts of these characters only are cut at white space and looked up word by word; the tokenizer never joins across
-#: white space there, and lower case and composition are the identity or agree. All other texts go to the tokenizer whole.
-PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\\|")
+#: Pieces of one length that are ranked together, and buckets of a length at most: beyond that buckets grow instead, so
+#: that neither a bucket nor the list of a length's buckets is more than a task can hold.
+BUCKET_ROWS, BUCKETS = 500, 1 << 16
+#: Where the tokenizer's units are known by rule: below this character.
+_BELOW = 0x250
 
 
-def _class(*kinds: str) -> str:
-    return "".join(re.escape(chr(c)) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] in kinds)
+def _chars(*kinds: str) -> str:
+    """Characters of these kinds, escaped for a class, that composition leaves alone and that lower-case within their range."""
+    found = []
+    for c in map(chr, range(0x21, _BELOW)):
+        low = c.lower()
+        if unicodedata.category(c)[0] in kinds and unicodedata.normalize("NFC", c) == c and len(low) == 1 and ord(low) < _BELOW and unicodedata.category(low)[0] in kinds:
+            found.append(re.escape(c))
+    return "".join(found)
 
 
-#: What the tokenizer takes as one unit in PLAIN texts.
-_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\\s{L}{N}]+".format(L=_class("L"), N=_class("N")))
+#: Finds what is not plain. Plain texts are cut at white space and looked up word by word: the tokenizer never joins across
+#: white space, and each character stands for itself or its lower case. All other texts go to the tokenizer whole.
+PLAIN = re.compile(f"[^\t\n\r {_chars('L', 'N', 'P', 'S')}]|<\\|")
+#: What the tokenizer takes as one unit in plain texts.
+_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\\s{L}{N}]+".format(L=_chars("L"), N=_chars("N")))
 
 
 class _Words(dict):
-    """Word -> bytes of its ids, put together from its units; the tokenizer sees each new unit once."""
+    """Words and units -> bytes of their ids; a word's are put together from its units', and the tokenizer sees each new unit once."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -53,20 +63,22 @@ class _Words(dict):
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a unit
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.units: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: set[str]) -> None:
         cut = {w: _UNIT.findall(w) for w in words}
-        new = list({u for units in cut.values() for u in units if u not in self.units})
+        new = list({u for units in cut.values() for u in units if u not in self})
         if new:
             ids = self.encode(" ".join(new))
             ends = np.flatnonzero(self.last[ids]) + 1
-            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.units.update((u, raw[a:b]) for u, a, b in zip(new, at[:-1], at[1:], strict=True))
-        self.update((w, b"".join([self.units[u] for u in units])) for w, units in cut.items())
+            if len(ends) == len(new):
+                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.update((u, raw[a:b]) for u, a, b in zip(new, at[:-1], at[1:], strict=True))
+            else:  # a unit that the tokenizer cuts otherwise
+                self.update((u, self.encode(u).tobytes()) for u in new)
+        self.update((w, b"".join([self[u] for u in units])) for w, units in cut.items() if len(units) > 1)
 
     def text(self, text: str) -> bytes:
         if PLAIN.search(text):
@@ -75,16 +87,20 @@ class _Words(dict):
         try:
             return b"".join(map(self.__getitem__, words))
         except KeyError:
-            if len(self) > 1_000_000:
-                self.clear()
-                self.units.clear()
             self.learn({w for w in words if w not in self})
             return b"".join(map(self.__getitem__, words))
 
     def warm(self, texts: list[str]) -> None:
-        """Learns what the texts need at once."""
-        if len(self) < 1_000_000:
-            self.learn({w for t in texts if not PLAIN.search(t) for w in t.lower().split()} - self.keys())
+        """Learns what the texts need at once, in place of all that it knew where that is too much."""
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        self.learn({w for t in texts if not PLAIN.search(t) for w in t.lower().split()} - self.keys())
+
+
+@lru_cache(1)
+def _words(tokenizer_json: str) -> _Words:
+    """Kept by the worker from task to task: what it holds is bounded."""
+    return _Words(tokenizer_json)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -94,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(spec)
+        words = _words(spec)
         for batch, texts in chunks(batches, "text"):
             words.warm(texts)
             doc_ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
@@ -107,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), PIECES)
 
 
 def _fill(counts: Counter, target: int) -> Counter:
@@ -165,7 +181,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts (with doc_id, start and length, all stored: it is read more than once) with sequence_id and offset."""
     histogram = {r.length: r.n for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     places = _places(plan(histogram, capacity))
-    buckets = F.array(*(F.lit(-(-histogram.get(i, 0) // BUCKET_ROWS) or 1) for i in range(capacity + 1)))
+    buckets = F.array(*(F.lit(min(BUCKETS, -(-histogram.get(i, 0) // BUCKET_ROWS)) or 1) for i in range(capacity + 1)))
     salted = parts.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.element_at(buckets, F.col("length").cast("int") + 1)))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n")).select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kataflow.llm.common import chunks, durable, mix
+from kataflow.llm.common import CACHED_WORDS, chunks, durable, mix, tidy
 
 BITS, MOST, EPOCHS, KEEP = 18, 8000, 4, 0.7
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.02, 0.1, 4.0
@@ -40,7 +40,7 @@ class Features:
         try:
             return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         except KeyError:
-            if len(self.ids) > 1_000_000:
+            if len(self.ids) > CACHED_WORDS:
                 self.ids.clear()
             for w in words:
                 if w not in self.ids:
@@ -114,8 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, bits: int = BITS
         w = ftrl([(y, np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for _, y, i, v in rows], 1 << bits)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
-    rows = learned.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int").alias("y")).mapInArrow(featured, "doc_id long, y int, idx binary, val binary")
-    found = rows.repartition(1).mapInArrow(fit, "w binary").collect()
+    rows = learned.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int").alias("y")).mapInArrow(tidy(featured), "doc_id long, y int, idx binary, val binary")
+    found = rows.repartition(1).mapInArrow(tidy(fit), "w binary").collect()
     return np.frombuffer(found[0].w, np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -133,7 +133,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([_sigmoid(v) for v in x])], [*kept, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score")
-    return docs.select(*kept).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*kept).mapInArrow(tidy(run), f"{schema}, score double")
 
 
 def remainder(column: str, by: int) -> Column:

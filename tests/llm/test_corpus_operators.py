@@ -121,7 +121,9 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 70: 70} | dict.fromkeys(range(20, 61), 20)
 
 
-def test_topk_is_exact(spark):
+def test_topk_is_exact(spark, monkeypatch):
+    for name, size in (("BLOCK", 64), ("RANGE", 256), ("QUERIES", 8)):  # many ranges and blocks of queries
+        monkeypatch.setattr(topk, name, size)
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in v]) for i, v in zip(rng.integers(0, 900, 1500), rng.standard_normal((1500, 6)).round(2), strict=True)]
     rows += [(5000, None), (5001, [1.0, None, 2.0]), (5002, [float("nan")] * 6), (5003, [float("inf")] * 6), (5100, [3.0, 1.0]), (5101, []), (None, [1.0]), (700, [0.5] * 6), (700, [0.5] * 6), (5200, [1e9] * 6)]
@@ -132,8 +134,10 @@ def test_topk_is_exact(spark):
     for i, q in ok:
         if i % 100 == 0:
             want += [(i, s, j) for s, j in sorted(((sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in ok if j != i), key=lambda x: (-x[0], x[1]))[:10]]
-    once = {i for i, n in Counter(i for i, _ in ok if i % 100 == 0).items() if n == 1}
-    assert sorted((r.query_id, r.score, r.vec_id) for r in got if r.query_id in once) == sorted(w for w in want if w[0] in once)
+    assert max(Counter(i for i, _ in ok if i % 100 == 0).values()) > 1  # rows that repeat a query's id are queries too
+    assert sorted((r.query_id, r.score, r.vec_id) for r in got) == sorted(want)
+    ranks = Counter((r.query_id, r.rank) for r in got)
+    assert all(ranks[i, k] == n for i, n in Counter(i for i, _ in ok if i % 100 == 0).items() for k in range(1, 11))
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 

@@ -95,6 +95,17 @@ def test_chat_round_trip(spark):
     unescape = lambda s: "\\".join(p.replace("\\h", "#").replace("\\l", "<") for p in s.split("\\\\"))
     assert "".join(unescape(got[1].formatted[s.start : s.end]) for s in got[1].loss_spans) == said
     assert chat.digest(chat.render(chat.fold(chat.log_rows(df.limit(0))))).count() == 0
+    # The log holds all kinds of events; the loss is what the mask covers, whatever the turns say.
+    assert {r.kind for r in chat.log_rows(df).collect()} == {"delta", "edit", "regenerate"}
+    first = F.transform(F.slice("loss_spans", 1, 1), lambda x: F.struct((x["start"] - 3).alias("start"), x["end"].alias("end")))
+    moved = {r.conv_id: r for r in chat.digest(made.withColumn("loss_spans", first)).collect()}
+    assert moved[1].loss_chars == 3 and moved[1].n_turns == 8
+
+
+def test_marks_of_byte_order_stay(spark):
+    rows = [(1, k, "assistant", t) for k, t in enumerate(["\ufeffa", "", "\ufeff", "b\ufeff🙂"])]
+    digest = chat.digest(chat.render(chat.fold(chat.log_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))).first()
+    assert (digest.loss_chars, digest.loss_sha256) == (6, hashlib.sha256("\ufeffa\ufeffb\ufeff🙂".encode()).hexdigest())
 
 
 def test_events_fold(spark):

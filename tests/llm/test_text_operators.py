@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kataflow.llm import decontamination, packing, pii, quality, sharding
+from kataflow.llm.common import least_of
 from kataflow.llm.queries import tokenizer_path
 
 
@@ -87,6 +89,30 @@ def test_words_are_the_tokenizers(text):
     assert words.text(text) == np.array(Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_shortcut_gives_the_tokenizers_ids():
+    """Every character below U+0250 alone and next to others, random strings, and other scripts among them."""
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = f.read()
+    words, tok, rng = packing._Words(spec), Tokenizer.from_str(spec), random.Random(2)
+    low = [chr(c) for c in range(0x250)]
+    wide = [*low, *"ƏΣσςİ߿अ한中ﬁ🙂\u0301\u200d\u1e9e"]
+    texts = [*low, *(a + b for a in low for b in rng.sample(low, 12)), "aƏb", "MƏ» x", "İI ıi"]
+    texts += ["".join(rng.choices(alphabet, k=rng.randint(1, 12))) for alphabet in (low, wide, low[0x180:]) for _ in range(4000)]
+    words.warm(texts)
+    assert [t for t in texts if words.text(t) != np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()] == []
+    assert sum(not packing.PLAIN.search(t) for t in texts) > 6000
+
+
+def test_units_that_the_tokenizer_cuts_otherwise(monkeypatch):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        words = packing._Words(f.read())
+    monkeypatch.setattr(packing, "_UNIT", re.compile("[^ ]{2}|[^ ]"))
+    assert len(words.text("it's 12 o'clock")) > 0  # neither raises nor shifts ids from one unit to the next
+    assert words["it"] == words.encode("it").tobytes() and words["12"] == words.encode("12").tobytes()
+
+
 def test_plan_fills():
     counts = {4096: 3, 3000: 2, 1096: 1, 1095: 1, 1: 4, 700: 9}
     plan = packing.plan(dict(counts))
@@ -152,6 +178,37 @@ def test_sharding(spark, odd, none):
     assert sharding.shard(many, 16, 256).toPandas().sort_values("doc_id")["slot"].tolist() == found.sort_values("doc_id")["slot"].tolist()
 
 
+def test_equal_texts_stay_together(spark):
+    # Against a plan made by hand: groups of copies of all sizes, one of them over a shard's due.
+    rng = random.Random(7)
+    rows, i = [], 0
+    for g, n in enumerate([1] * 300 + [2, 3, 5, 8, 13, 40] * 4 + [700]):
+        text = f"text {g} " + "x" * (20 if n == 700 else rng.randint(1, 60))
+        for _ in range(n):
+            rows.append((i, text if g else None))
+            i += 1
+    rng.shuffle(rows)
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8, 128).toPandas().set_index("doc_id")
+    of, due = {}, 0
+    for d, t in rows:
+        of.setdefault(t, []).append(d)
+        size = len((t or "").encode()) + 1
+        due += size / 8
+        assert (found.at[d, "size"], found.at[d, "text_crc32"], found.at[d, "law"]) == (size, zlib.crc32((t or "").encode()), "bytes")
+    for t, ids in of.items():
+        if len(ids) * found.at[ids[0], "size"] <= due / 4:
+            assert found.loc[ids, "shard"].nunique() == 1, t
+    loads = found.groupby("shard")["size"].sum()
+    assert len(loads) == 8 and loads.max() - loads.min() <= max(found["size"].max(), 0.02 * due)
+    for _, slots in found.groupby("shard")["slot"]:
+        assert sorted(slots) == list(range(len(slots)))
+
+
+@pytest.mark.parametrize(("values", "most", "want"), [([5, 5, 4, 4, 3, 2, 1], 4, 4), ([5, 5, 4, 4, 3, 2, 1], 3, 5), ([5, 5, 4], 1, 6), ([7, 3], 9, 2), ([], 3, 2), ([10**12 + k for k in range(50)], 10, 10**12 + 40)])
+def test_least_of(spark, values, most, want):
+    assert least_of(spark.createDataFrame([(v,) for v in values], "c long"), "c", most, 2) == want
+
+
 def test_quality(spark, odd, none):
     good, bad = "The {} of the and in then there {} is it.", "The{}*** of$$$ and%%% {}### in&&& is***"
     texts = [(i, (bad if i % 5 == 0 else good).format(f"w{i}", f"v{i % 7}") * 3) for i in range(400)]
