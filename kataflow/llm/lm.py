@@ -8,9 +8,9 @@ classes and the share of counts for the others; unseen words are one word of the
 Good-Turing gives it. So the probabilities of all words sum to one at every step.
 
 Training is by truncated backpropagation over windows of WINDOW tokens, the state carried through a segment of several.
-All of the training text is used: a task's running text is cut into segments, and what is left at its end is one more.
-Every ROUND, trainers start from the same weights, each goes over its share of the segments, and the weights are averaged
-by tokens. Scoring runs texts side by side in windows, longest first, and carries each text's state to its end.
+All of the training text is used, once: a task's running text is cut into segments, what is left at its end is one more,
+and ROUNDS share the segments among them. In a round, trainers start from the same weights and sums of squares, each goes
+over its share of the round's segments, and both are averaged by tokens, in a tree of bounded fan-in. Scoring runs texts side by side in windows, longest first, and carries each text's state to its end.
 
 Null and empty texts are one end token. Repeated rows are counted and scored each. With no training rows the model is
 untrained and all words are unseen. Only doc_id and text are read.
@@ -28,11 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kataflow.llm.common import chunks, durable
+from kataflow.llm.common import chunks, durable, least_of, tidy
 
 HEAD, CLASS, MIDDLE, POWERS, HIDDEN = 4096, 64, 1 << 18, 24, 32
-WINDOW, SEGMENT, ROUNDS, STREAMS, RATE = 32, 128, 2, 64, 0.08
-SEGMENTS_PER_TRAINER, PARTS, SALTS, SCORED_CHARS = 4000, 16, 16, 5_000_000
+WINDOW, SEGMENT, ROUNDS, STREAMS, RATE, FIRST_SQUARES, BLOCK = 32, 128, 2, 256, 0.08, 1e-12, 4096
+EPSILON, START = 1e-12, 0.1
+SEGMENTS_PER_TRAINER, PARTS, FAN_IN, SCORED_CHARS = 8192, 16, 16, 8_000_000
 CLASSES = HEAD // CLASS + POWERS + 1
 RARE = HEAD + POWERS  # model ids: head words, powers of two of middle words, rare
 END = xxhash.xxh3_64_intdigest(b"\n") - (1 << 63)
@@ -95,7 +96,7 @@ def gather(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([none(1, pa.int64()), none(1, pa.int64()), pa.array([rest.tobytes()], pa.binary())], ["word", "c", "segment"])
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(c), none(len(found), pa.binary())], ["word", "c", "segment"])
 
-    return docs.select("text").mapInArrow(run, "word long, c long, segment binary")
+    return docs.select("text").mapInArrow(tidy(run), "word long, c long, segment binary")
 
 
 class Vocabulary:
@@ -122,12 +123,14 @@ class Vocabulary:
 
 
 def vocabulary(table: DataFrame) -> Vocabulary:
-    """From stored counts; the top MIDDLE words are a bounded list."""
+    """From stored counts: the words seen so often, twice at least, that they are MIDDLE at most."""
     n, v = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = table.where("c > 1").orderBy(F.desc("c"), "word").limit(MIDDLE).toPandas()
-    least = int(top["c"].min()) if len(top) == MIDDLE else 2
-    once, next_up = table.agg(F.coalesce(F.sum(F.when(F.col("c") == 1, F.col("c"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("c").between(2, least), F.col("c"))), F.lit(0))).first()
-    unseen = (once + 0.5) / (once + next_up + 1.0)
+    least = least_of(table, "c", MIDDLE, 2)
+    top = table.where(F.col("c") >= least).toPandas().sort_values(["c", "word"], ascending=[False, True])
+    next_up = F.coalesce(F.sum(F.when(F.col("c").between(2, least), F.col("c"))), F.lit(0))
+    once, seen = table.agg(F.count_if(F.col("c") == 1), next_up).first()
+    # Good-Turing: unseen words have the mass of those seen once, words seen c times that of those seen c + 1 times.
+    unseen = (once + 0.5) / (once + seen + 1.0)
     return Vocabulary(top["word"].to_numpy(np.int64), top["c"].to_numpy(np.int64), int(n), int(v), unseen, int(n - top["c"].sum()))
 
 
@@ -147,7 +150,7 @@ class Model:
     @classmethod
     def initial(cls, v: Vocabulary) -> Model:
         """Random small weights, biases at the logs of the shares: untrained, it is the unigram model."""
-        m = cls((np.random.default_rng(1).standard_normal(cls.SIZE) * 0.1).astype(np.float32))
+        m = cls((np.random.default_rng(1).standard_normal(cls.SIZE) * START).astype(np.float32))
         m.cw *= 0.1
         m.ow *= 0.1
         mass = np.concatenate([v.mass[:HEAD].reshape(-1, CLASS).sum(1), v.mass[HEAD:]])
@@ -159,12 +162,13 @@ class Model:
         """States after each row of x (steps x streams), from h; with `keep` also what backpropagation needs."""
         k, states, saved = HIDDEN, np.empty((*x.shape, HIDDEN), np.float32), []
         for t in range(len(x)):
-            a, g = self.win[x[t]], h @ self.u
-            zr = np.add(a[:, : 2 * k], g[:, : 2 * k])
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
+            a, g = self.win.take(x[t], 0), h @ self.u
+            zr = a[:, : 2 * k]
+            zr += g[:, : 2 * k]
+            zr *= 0.5
+            np.tanh(zr, out=zr)  # the logistic function by way of tanh
             zr += 1
-            np.reciprocal(zr, out=zr)
+            zr *= 0.5
             z, r, gn = zr[:, :k], zr[:, k:], g[:, 2 * k :]
             n = r * gn
             n += a[:, 2 * k :]
@@ -178,15 +182,20 @@ class Model:
         return states, saved
 
     def logs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of p(class) and, for head words, p(word | class)."""
+        """Natural log of p(class) and, for head words, p(word | class): in blocks that stay in the processor's cache."""
+        out = np.empty(len(y))
         c = np.where(y < HEAD, y // CLASS, y - (HEAD - HEAD // CLASS)).astype(np.int16)
-        out = self._softmax_logs(h, self.cw, self.cb, c)
-        rows = np.flatnonzero(y < HEAD)
-        rows = rows[np.argsort(c[rows], kind="stable")]  # a radix sort
-        ends = np.concatenate(([0], np.cumsum(np.bincount(c[rows], minlength=HEAD // CLASS))))
+        for start in range(0, len(y), BLOCK):
+            part = slice(start, start + BLOCK)
+            out[part] = self._softmax_logs(h[part], self.cw, self.cb, c[part])
+        by = np.argsort(c, kind="stable")  # a radix sort
+        ends = np.concatenate(([0], np.cumsum(np.bincount(c, minlength=CLASSES)[: HEAD // CLASS])))
+        by = by[: ends[-1]]
+        states, inside, found = h.take(by, 0), y[by] % CLASS, np.empty(len(by))
         for k in np.flatnonzero(np.diff(ends)):
-            part, words = rows[ends[k] : ends[k + 1]], slice(k * CLASS, (k + 1) * CLASS)
-            out[part] += self._softmax_logs(h[part], self.ow[words].T, self.ob[words], y[part] - k * CLASS)
+            part, words = slice(ends[k], ends[k + 1]), slice(k * CLASS, (k + 1) * CLASS)
+            found[part] = self._softmax_logs(states[part], self.ow[words].T, self.ob[words], inside[part])
+        out[by] += found
         return out
 
     @staticmethod
@@ -200,69 +209,90 @@ class Model:
         np.exp(logits, out=logits)
         return one - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
+    def _descend(self, name: str, part: slice | np.ndarray, g: np.ndarray, old: Model) -> None:
+        """An AdaGrad step of the rows `part` of a matrix; `old` holds the sums of squares."""
+        o = getattr(old, name)
+        sums = o[part]
+        sums += g * g
+        if not isinstance(part, slice):
+            o[part] = sums
+        root = sums + EPSILON
+        np.sqrt(root, out=root)
+        np.divide(g, root, out=root)
+        root *= RATE
+        getattr(self, name)[part] -= root
+
     def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, old: Model) -> np.ndarray:
         """One AdaGrad update from a window (steps x streams); `old` holds the sums of squares. Returns the last state."""
-        k, grad = HIDDEN, Model(np.zeros(self.SIZE, np.float32))
+        k, every = HIDDEN, slice(None)
         states, saved = self.steps(x, h, True)
         hv, yv, n = states.reshape(-1, k), y.reshape(-1), y.size
-        c = np.where(yv < HEAD, yv // CLASS, yv - HEAD + HEAD // CLASS)
-        p = hv @ self.cw + self.cb
-        p = np.exp(p - p.max(1)[:, None])
-        p /= p.sum(1)[:, None]
-        p[np.arange(n), c] -= 1
-        p /= n
-        grad.cw[:], grad.cb[:] = hv.T @ p, p.sum(0)
+        c = np.where(yv < HEAD, yv // CLASS, yv - HEAD + HEAD // CLASS).astype(np.int16)
+
+        def off(w: np.ndarray, b: np.ndarray, hv: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Softmax less one at the right place, by token."""
+            p = hv @ w
+            p += b
+            if (np.abs(w).sum(0) + np.abs(b)).max() > 60:  # as in _softmax_logs
+                p -= p.max(1)[:, None]
+            np.exp(p, out=p)
+            p *= (1 / (p @ np.ones(p.shape[1], p.dtype)))[:, None]
+            p[np.arange(len(at)), at] -= 1
+            p *= p.dtype.type(1 / n)
+            return p
+
+        p = off(self.cw, self.cb, hv, c)
         dh = p @ self.cw.T
-        rows = np.flatnonzero(yv < HEAD)
-        rows = rows[np.argsort(c[rows], kind="stable")]
-        for part in np.split(rows, np.flatnonzero(np.diff(c[rows])) + 1) if len(rows) else ():
-            b = int(c[part[0]]) * CLASS
-            s = hv[part] @ self.ow[b : b + CLASS].T + self.ob[b : b + CLASS]
-            s = np.exp(s - s.max(1)[:, None])
-            s /= s.sum(1)[:, None]
-            s[np.arange(len(part)), yv[part] - b] -= 1
-            s /= n
-            grad.ow[b : b + CLASS], grad.ob[b : b + CLASS] = s.T @ hv[part], s.sum(0)
-            dh[part] += s @ self.ow[b : b + CLASS]
-        dh, back, da = dh.reshape(states.shape), np.zeros_like(h), np.empty((*x.shape, 3 * k), np.float32)
+        steps = [("cw", every, hv.T @ p), ("cb", every, p.sum(0))]
+        by = np.argsort(c, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(c, minlength=CLASSES)[: HEAD // CLASS])))
+        by = by[: ends[-1]]
+        sorted_h, inside, back = hv.take(by, 0), yv[by] % CLASS, np.empty((len(by), k), hv.dtype)
+        for b in np.flatnonzero(np.diff(ends)):
+            part, rows = slice(ends[b], ends[b + 1]), slice(b * CLASS, (b + 1) * CLASS)
+            s = off(self.ow[rows].T, self.ob[rows], sorted_h[part], inside[part])
+            np.matmul(s, self.ow[rows], out=back[part])
+            # A class's weights are in nothing that follows.
+            self._descend("ow", rows, s.T @ sorted_h[part], old)
+            self._descend("ob", rows, s.sum(0), old)
+        dh[by] += back
+        dh, back, da, du = dh.reshape(states.shape), np.zeros_like(h), np.empty((*x.shape, 3 * k), h.dtype), np.zeros_like(self.u)
         for t in reversed(range(len(x))):
             before, z, r, cand, gn = saved[t]
             d = dh[t] + back
-            dn = d * (1 - z) * (1 - cand * cand)
-            da[t, :, :k] = d * (before - cand) * z * (1 - z)
-            da[t, :, k : 2 * k] = dn * gn * r * (1 - r)
-            da[t, :, 2 * k :] = dn
-            dg = da[t].copy()
+            dn = d * (1 - z)
+            dn *= 1 - cand * cand
+            a = da[t]
+            np.multiply(d * (before - cand), z * (1 - z), out=a[:, :k])
+            np.multiply(dn * gn, r * (1 - r), out=a[:, k : 2 * k])
+            a[:, 2 * k :] = dn
+            dg = a.copy()
             dg[:, 2 * k :] *= r
-            grad.u += before.T @ dg
-            back = d * z + dg @ self.u.T
+            du += before.T @ dg
+            back = dg @ self.u.T
+            back += d * z
         ids = x.reshape(-1)
-        by = np.argsort(ids, kind="stable")
+        by = np.argsort(ids.astype(np.int16), kind="stable")
         first = np.concatenate(([0], np.flatnonzero(np.diff(ids[by])) + 1))
-        rows_in = ids[by][first]
-        grad.win[rows_in] = np.add.reduceat(da.reshape(-1, 3 * k)[by], first)
-        for name in ("u", "cw", "cb", "ow", "ob"):
-            g, o = getattr(grad, name), getattr(old, name)
-            o += g * g
-            getattr(self, name)[...] -= RATE * g / np.sqrt(o + 1e-8)
-        g = grad.win[rows_in]
-        old.win[rows_in] += g * g
-        self.win[rows_in] -= RATE * g / np.sqrt(old.win[rows_in] + 1e-8)
+        for name, part, g in (*steps, ("u", every, du), ("win", ids[by][first], np.add.reduceat(da.reshape(-1, 3 * k).take(by, 0), first))):
+            self._descend(name, part, g, old)
         return states[-1]
 
 
 def train(segments: DataFrame, v: Vocabulary, share: Callable[[], Vocabulary]) -> np.ndarray:
-    """The weights after ROUNDS rounds over stored segments."""
-    flat = Model.initial(v).flat
+    """The weights after ROUNDS rounds, which deal the stored segments among them: each is learned from once."""
+    both = np.concatenate([Model.initial(v).flat, np.full(Model.SIZE, FIRST_SQUARES, np.float32)])
     n = segments.count()
     if not n:
-        return flat
-    dealt = segments.coalesce(max(1, -(-n // SEGMENTS_PER_TRAINER)))
-    for _ in range(ROUNDS):
-        start = segments.sparkSession.sparkContext.broadcast(flat)
+        return both[: Model.SIZE]
+    trainers = max(1, -(-n // (ROUNDS * SEGMENTS_PER_TRAINER)))
+    kind = "part int, trainer int, tokens long, w binary"
+    for k in range(ROUNDS):
+        start = segments.sparkSession.sparkContext.broadcast(both)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            m, old, v = Model(start.value.copy()), Model(np.zeros(Model.SIZE, np.float32)), share()
+            own, v = start.value.copy(), share()
+            m, old = Model(own[: Model.SIZE]), Model(own[Model.SIZE :])
             waiting, rests, tokens = [], [], 0
             for b in batches:
                 for s in b.column(0).to_pylist():
@@ -276,19 +306,25 @@ def train(segments: DataFrame, v: Vocabulary, share: Callable[[], Vocabulary]) -
                 tokens += _go_over(m, old, v, [s])
             if not tokens:
                 return
-            parts = np.array_split(m.flat, PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId() % SALTS] * PARTS, pa.int32()), pa.array([tokens] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "salt", "tokens", "w"])
+            parts = np.array_split(own, PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([TaskContext.get().partitionId()] * PARTS, pa.int32()), pa.array([tokens] * PARTS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "trainer", "tokens", "w"])
 
         def add(frame: pd.DataFrame) -> pd.DataFrame:
             share = frame["tokens"] / frame["tokens"].sum()
             mean = sum(np.frombuffer(w, np.float32).astype(np.float64) * x for w, x in zip(frame["w"], share, strict=True))
-            return pd.DataFrame({"part": frame["part"].iloc[:1], "salt": [0], "tokens": [int(frame["tokens"].sum())], "w": [mean.astype(np.float32).tobytes()]})
-
-        kind = "part int, salt int, tokens long, w binary"
-        sums = dealt.mapInArrow(run, kind).groupBy("part", "salt").applyInPandas(add, kind).groupBy("part").applyInPandas(add, kind)
+            return pd.DataFrame({"part": frame["part"].iloc[:1], "trainer": frame["trainer"].iloc[:1] // FAN_IN, "tokens": [int(frame["tokens"].sum())], "w": [mean.astype(np.float32).tobytes()]})
+
+        own = segments if ROUNDS == 1 else segments.where(F.pmod(F.xxhash64("segment"), F.lit(ROUNDS)) == k)
+        sums, left = own.coalesce(trainers).mapInArrow(tidy(run), kind), trainers
+        while True:  # a tree: a task adds FAN_IN slices of models at most, however many trainers there are
+            sums = sums.groupBy("part", F.floor(F.col("trainer") / FAN_IN)).applyInPandas(add, kind)
+            left = -(-left // FAN_IN)
+            if left == 1:
+                break
         rows = sorted(sums.collect(), key=lambda r: r.part)  # PARTS pieces of one model
-        flat = np.concatenate([np.frombuffer(r.w, np.float32) for r in rows])
-    return flat
+        if rows:
+            both = np.concatenate([np.frombuffer(r.w, np.float32) for r in rows])
+    return both[: Model.SIZE].copy()
 
 
 def _go_over(m: Model, old: Model, v: Vocabulary, segments: list[bytes]) -> int:
@@ -359,7 +395,7 @@ def score(docs: DataFrame, learned: Column) -> DataFrame:
             )
             made += len(rows)
 
-    parts = durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, logs double, rare array<long>, times array<long>"))
+    parts = durable(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "row long, doc_id long, n_tokens long, known long, base double, logs double, rare array<long>, times array<long>"))
     left = parts.select("row", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("n"))).alias("x")).select("row", "x.word", "x.n")
     # Middle words never ask, so what may answer are the words below the vocabulary's least count, and ties at it.
     found = left.join(table, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kataflow.llm.common import CACHED_WORDS, chunks, durable, tidy
+from kataflow.llm.common import chunks, durable, tidy
 
 CAPACITY, END_ID = 4096, 2
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Pieces of one length that are ranked together, and buckets of a length at most: beyond that buckets grow instead, so
 #: that neither a bucket nor the list of a length's buckets is more than a task can hold.
 BUCKET_ROWS, BUCKETS = 500, 1 << 16
+#: Words that a worker keeps (some 80 MB).
+CACHED_WORDS = 400_000
 #: Where the tokenizer's units are known by rule: below this character.
 _BELOW = 0x250
 

@@ -191,6 +191,23 @@ def test_gradients():
         assert abs(abs(up - down) / 2e-3 - seen[k]) < 2e-3 * max(1, seen[k]) + 1e-4
 
 
+def test_trainers_are_added_in_a_tree(spark, monkeypatch):
+    """Many trainers, a small fan-in: the result is the mean of what each makes of its share, and all segments are used once."""
+    monkeypatch.setattr(lm, "SEGMENTS_PER_TRAINER", 1)
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    rng = random.Random(4)
+    df = spark.createDataFrame([(k, " ".join(f"w{rng.randrange(9)}" for _ in range(40))) for k in range(24)], "doc_id long, text string").repartition(12)
+    gathered = lm.gather(df).cache()
+    v = lm.vocabulary(gathered.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")))
+    segments = gathered.where("segment is not null").select("segment")
+    assert segments.count() == 12 and segments.rdd.getNumPartitions() == 12
+    made = lm.Model(lm.train(segments, v, lambda: v))
+    states = lambda m: m.steps(np.full((3, 1), int(v.end)), np.zeros((1, lm.HIDDEN), np.float32))[0][:, 0]
+    ids = v.of(np.fromiter((lm._Hashes()[f"w{k}".encode()] for k in range(9)), np.int64))[0]
+    before = lm.Model.initial(v)
+    assert np.isfinite(made.flat).all() and not np.array_equal(states(made), states(before)) and (ids < lm.HEAD).all()
+
+
 def test_probabilities_sum_to_one():
     v = lm.Vocabulary(np.arange(30), np.arange(60, 30, -1), 1500, 40, 0.3, 9)
     m = lm.Model.initial(v)
@@ -199,6 +216,25 @@ def test_probabilities_sum_to_one():
     assert abs(np.exp(m.logs(np.repeat(h, len(ids), 0), ids)).sum() - 1) < 1e-4
 
 
+def test_all_words_sum_to_one(spark):
+    """Head, middle, rare and unseen words: the last are one word of the rare class."""
+    texts = [" ".join([f"w{k % 7}" for k in range(60)] + [f"m{k}" for k in range(30)] * 2 + [f"r{k}" for k in range(25)])] * 1
+    df = spark.createDataFrame([(0, texts[0])], "doc_id long, text string")
+    table = lm.gather(df).where("word is not null").groupBy("word").agg(F.sum("c").alias("c"))
+    v = lm.vocabulary(table)
+    m, counts = lm.Model.initial(v), {r.word: r.c for r in table.collect()}
+    h = np.random.default_rng(0).standard_normal((1, lm.HIDDEN)).astype(np.float32) * 0.3
+    total = 0.0
+    for word, c in counts.items():
+        ids, at = v.of(np.array([word]))
+        share = v.share[at[0]] if at[0] >= 0 else np.log((1 - v.unseen) * c / v.mass[lm.RARE])
+        total += np.exp(m.logs(h, ids)[0] + share)
+    unseen = np.exp(m.logs(h, np.array([lm.RARE]))[0]) * v.unseen
+    own = np.concatenate([np.unique(v.ids), [lm.RARE]]).astype(np.int64)
+    reachable = np.exp(m.logs(np.repeat(h, len(own), 0), own)).sum()  # the rest is on head places and powers without words
+    assert abs(total + unseen - reachable) < 1e-5 and unseen > 0
+
+
 def test_windows_carry_the_state():
     v = lm.Vocabulary(np.arange(30), np.arange(60, 30, -1), 1500, 40, 0.3, 9)
     m = lm.Model.initial(v)
