@@ -1,20 +1,24 @@
 """HTML extraction by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page becomes a stream of container tokens (opening and closing tags of sections, with the letters of their classes)
-and text slots; paragraphs, headings, lists, tables and inline tags lie within slots. Streams of a host are aligned one
-by one with the wrapper so far: balanced stretches that follow each other alike fold into repeated groups, stretches that
-only one side has become optional groups, and texts that differ between pages are slots while equal ones are template.
-Equal streams are counted first and wrappers are merged in two rounds, so that no host meets in one task. Text amounts,
-link texts and template texts are summed by (host, path) over all pages.
-
-The main part of a host is its article (or main) with the most text where it has one, alike on all pages or not, else the container with the most text that
-differs between pages. The text of a page is that of the slots below it, without boilerplate: sections and blocks that
-tags, roles or class words tell to be menus, notices and so on; and where no article is marked, also containers of links
-and template texts in containers of their own.
-White space becomes one space; blocks are joined by one space; a break counts as white space.
-
-Null and empty pages give ''. A host that has one page or a page that fits no wrapper is judged by the page alone. Repeated
-pages count each; null urls are a host of their own. Columns of the input are kept; one named as the output is replaced.
+1. A page becomes a stream of container tokens (opening and closing tags of sections, with the letters of their classes)
+   and text slots; paragraphs, headings, lists, tables and breaks make the blocks of a slot.
+2. Streams of a host are aligned one by one with the wrapper so far: balanced stretches that follow each other alike fold
+   into repeated groups, stretches that only one side has become optional groups. Equal streams are counted first, and
+   wrappers merge in a tree of bounded fan-in, so that no host meets in one task.
+3. Each page is matched against its host's wrapper, which gives every slot of the page its slot of the wrapper. Per slot of
+   the wrapper pages, text, link text and the pages of each block's text are counted: a block that nearly all pages of
+   the host have in that slot is template, the others are what the slot takes in.
+4. Over the wrapper as a tree the main part is chosen: its article (or main) with the most text where the host marks one,
+   else the deepest container that holds most of the text that differs between pages and isn't links. What is taken are
+   the slots below it and those of the containers around it (a title, say), without boilerplate (sections and blocks that tags, roles or class words tell to be menus, notices
+   and so on), without slots of links or of template only, and without template blocks among text that differs.
+
+White space becomes one space; blocks are joined by one space; a break counts as white space. Containers nested deeper
+than DEEP belong to the one at that depth.
+
+Null and empty pages give ''. Pages of a host whose wrapper says nothing of them, and slots that the wrapper doesn't have,
+are judged by the page alone. Repeated pages count each; where nearly all text of a host repeats, none of it is template;
+null urls are a host of their own. Columns of the input are kept; one named as the output is replaced.
 """
 
 from __future__ import annotations
@@ -23,20 +27,26 @@ import difflib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kataflow.llm.common import chunks, durable
+from kataflow.llm.common import chunks, durable, tidy
 
-#: Broadcast wrappers up to so many characters in all; beyond it hosts are joined by a shuffle.
+#: Broadcast rules up to so many characters in all; beyond it they are joined to pages by host. Both give the same.
 BROADCAST_CHARS = 8_000_000
-SALTS = 16
+#: Wrappers that one task merges, about; deepest container; what a worker remembers of hosts and streams.
+FAN_IN, DEEP, KNOWN = 64, 256, 2000
+#: A block is template on so many pages at least, and on this share of the host's; it is told from text that differs only
+#: where such text is at least this share of all.
+LEAST_PAGES, MOST_PAGES, VARIED = 5, 0.9, 0.2
 CONTAINERS = frozenset("html head body div section article main nav header footer aside form dialog menu fieldset figure details center".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +54,7 @@ BOILER_TAGS = frozenset("head nav footer aside form dialog menu fieldset".split(
 BOILER_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar".split())
 #: Class words that say what a section has or lacks, not what it is.
 ABOUT_WORDS = frozenset("no not without with has hide show".split())
+MARKED = ("article", "main")
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|select|textarea)\b(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)"
@@ -78,26 +89,40 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
 
 
 class Page:
-    """A page's stream, and its slots as (path, boilerplate?, raw text pieces, characters in links)."""
+    """A page's stream, and for each of its slots whether it is boilerplate and its blocks as [raw text pieces, characters in links]."""
 
     def __init__(self, source: str):
         self.stream: list[str] = []
-        self.slots: list[list] = []
-        stack: list[tuple[str, str, bool]] = []  # tag, path, boilerplate
+        self.slots: list[tuple[bool, list[list]]] = []
+        stack: list[tuple[str, str, bool, bool]] = []  # tag, label, boilerplate, within an article
+        opened: Counter[str] = Counter()
         pieces: list[str] = []
-        link = linked = 0
-        at = 0
+        blocks: list[list] = []
+        link = linked = at = 0
 
-        def close_slot() -> None:
+        def close_block() -> None:
             nonlocal pieces, linked
             if any(not p.isspace() for p in pieces if p):
-                path, boiler = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-                self.stream.append("#")
-                self.slots.append([path, boiler, pieces, linked])
+                blocks.append([pieces, linked])
             pieces, linked = [], 0
 
+        def close_slot() -> None:
+            nonlocal blocks
+            close_block()
+            if blocks:
+                boiler = bool(stack) and stack[-1][2]
+                if self.stream and self.stream[-1] == "#" and self.slots[-1][0] == boiler:
+                    self.slots[-1][1].extend(blocks)  # beyond DEEP, where containers leave no token
+                else:
+                    self.stream.append("#")
+                    self.slots.append((boiler, blocks))
+            blocks = []
+
         def pop() -> None:
-            self.stream.append("/" + stack.pop()[1].rsplit(" ", 1)[-1])
+            tag, label, _, _ = stack.pop()
+            opened[tag] -= 1
+            if len(stack) < DEEP:
+                self.stream.append("/" + label)
 
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -111,16 +136,19 @@ class Page:
                 if tag == "a":
                     link = 0 if m[2] else 1
                 continue
-            if stack and stack[-1][0] == "p" and tag != "br" and not m[2] or stack and stack[-1][0] == tag == "li" and not m[2]:
+            if stack and not m[2] and (stack[-1][0] == "p" and tag != "br" or stack[-1][0] == tag == "li"):
                 close_slot()  # the paragraph or list item before ends here
                 pop()
-            if tag not in CONTAINERS and not (any(t == tag for t, _, _ in stack) if m[2] else tag not in VOID and _label(tag, m[4])[1]):
-                pieces.append(" ")
+            if tag not in CONTAINERS and not (opened[tag] if m[2] else tag not in VOID and _label(tag, m[4])[1]):
+                if tag in VOID:
+                    pieces.append(" ")
+                else:
+                    close_block()
                 continue
             close_slot()
             link = 0
             if m[2]:
-                if any(t == tag for t, _, _ in stack):
+                if opened[tag]:
                     while stack[-1][0] != tag:
                         pop()
                     pop()
@@ -131,13 +159,13 @@ class Page:
                 while stack and stack[-1][0] != "html":
                     pop()
             label, boiler = _label(tag, m[4])
-            above, inside = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-            if tag == "header" and re.search(r"(?:^| )(?:article|main)\b", above):
-                boiler = boiler and not BOILER_WORDS.isdisjoint(label.split(".")[1:])
-            elif tag == "header":
-                boiler = True
-            stack.append((tag, f"{above} {label}".strip(), inside or boiler))
-            self.stream.append(label)
+            _, _, inside, article = stack[-1] if stack else ("", "", False, False)
+            if tag == "header":
+                boiler = boiler and not BOILER_WORDS.isdisjoint(label.split(".")[1:]) if article else True
+            stack.append((tag, label, inside or boiler, article or label.split(".")[0] in MARKED))
+            opened[tag] += 1
+            if len(stack) <= DEEP:
+                self.stream.append(label)
         if at < len(source):
             pieces.append(source[at:])
         close_slot()
@@ -234,18 +262,18 @@ def _groups(items: list) -> dict[str, list]:
     return found
 
 
-def _keys(items: list) -> list[str]:
-    """What must agree for two items to be the same: the item and the containers around it."""
-    out, above = [], []
+def _keys(items: list) -> list[tuple[int, str]]:
+    """What must agree for two items to be the same: the item, and a number for the containers around it."""
+    out, above = [], [0]
     for x in items:
         if isinstance(x, str) and x.startswith("/"):
-            out.append(" ".join([*above, x]))
-            if above:
+            out.append((above[-1], x))
+            if len(above) > 1:
                 above.pop()
         else:
-            out.append(" ".join([*above, _key(x)]))
+            out.append((above[-1], _key(x)))
             if isinstance(x, str) and x != "#":
-                above.append(x)
+                above.append(hash((above[-1], x)))
     return out
 
 
@@ -276,160 +304,292 @@ def infer(streams: Iterator[list]) -> list:
     return wrapper or []
 
 
-def _host(url: str | None) -> str:
-    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
-    return (m[1] if m else "").rpartition("@")[2].lower()
+class Node:
+    """A container of a wrapper: what it holds in order, as (repeats?, container or slot number)."""
+
+    __slots__ = ("above", "kids", "label", "places")
+
+    def __init__(self, label: str, above: Node | None):
+        self.label, self.above = label, above
+        self.kids: list[tuple[bool, Node | int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def add(self, label: str, kid: Node | int, repeats: bool) -> None:
+        self.places.setdefault(label, []).append(len(self.kids))
+        self.kids.append((repeats, kid))
+
+
+class Wrapper:
+    """A wrapper as a tree; slots are numbered from 0."""
+
+    def __init__(self, items: list):
+        self.root, self.slots = Node("", None), []  # the node that holds each slot
+        self._grow(items, self.root, False)
+
+    def _grow(self, items: list, at: Node, repeats: bool) -> None:
+        top = at
+        for x in items:
+            again = repeats and at is top
+            if isinstance(x, list):
+                self._grow(x[1], at, again or x[0] == "+")
+            elif x == "#":
+                at.add("#", len(self.slots), again)
+                self.slots.append(at)
+            elif not x.startswith("/"):
+                node = Node(x, at)
+                at.add(x, node, again)
+                at = node
+            elif at.above:
+                at = at.above
+
+    def match(self, stream: list[str]) -> list[int]:
+        """The wrapper's slot of each slot of a stream, -1 where it has none: the next one that may come."""
+        out, stack, at, least = [], [], self.root, 0
+        for x in stream:
+            if x.startswith("/"):
+                at, least = stack.pop()
+                continue
+            places = at.places.get(x) if at else None
+            if places:
+                # Past the last such place, an earlier one of the same label is the best there is.
+                k = places[min(bisect_left(places, least), len(places) - 1)]
+                repeats, kid = at.kids[k]
+                least = max(least, k if repeats else k + 1)
+            else:
+                kid = None
+            if x == "#":
+                out.append(-1 if kid is None else kid)
+            else:
+                stack.append((at, least))
+                at, least = kid, 0
+        return out
+
+    def above(self, slot: int) -> list[Node]:
+        """The containers of a slot, from the root on."""
+        chain, at = [], self.slots[slot]
+        while at:
+            chain.append(at)
+            at = at.above
+        return chain[::-1]
+
+
+class Slot(NamedTuple):
+    """What the pages of a host have in a slot of its wrapper; fixed: characters of template blocks."""
+
+    pages: int
+    boiler: bool
+    chars: int
+    linked: int
+    fixed: int
+
+
+def choose(wrapper: Wrapper, pages: int, slots: dict[int, Slot]) -> tuple[list[int], bool]:
+    """The slots to take, and whether template blocks among them are left out."""
+    text = {w: s for w, s in slots.items() if not s.boiler}
+    own = {w: max(0, s.chars - s.linked) for w, s in text.items()}
+    varied = {w: max(0, own[w] - s.fixed) for w, s in text.items()}
+    # Where nearly all repeats (copies of a page, say) that tells nothing.
+    told = pages >= LEAST_PAGES and sum(varied.values()) >= VARIED * max(1, sum(own.values()))
+    for tag in MARKED:
+        found: dict[Node, list[int]] = {}
+        for w in text:
+            if top := next((n for n in wrapper.above(w) if n.label.split(".")[0] == tag), None):
+                found.setdefault(top, []).append(w)
+        if found:  # the page says what its article is
+            inside = max(found.values(), key=lambda ws: (sum(text[w].chars for w in ws), -ws[0]))
+            return sorted(inside), told and sum(varied[w] for w in inside) >= (1 - VARIED) * sum(own[w] for w in inside)
+    weight = varied if told else own
+    total: dict[Node, int] = {}
+    for w in text:
+        for n in wrapper.above(w):
+            total[n] = total.get(n, 0) + weight[w]
+    depth = lambda n: 0 if n.above is None else 1 + depth(n.above)
+    main = max((n for n, c in total.items() if c >= 0.8 * total[wrapper.root]), key=depth, default=wrapper.root)
+
+    around, n = set(), main.above  # what directly holds the main container, a title's place
+    while n and n.above and n.label.split(".")[0] not in ("html", "body"):
+        around.add(n)
+        n = n.above
+
+    def taken(w: int, s: Slot) -> bool:
+        chain = wrapper.above(w)
+        if main not in chain and chain[-1] not in around:
+            return False
+        # Text of the main container itself stays; other text must not be links or template only.
+        return chain[-1] is main or s.linked <= 0.6 * max(1, s.chars) and not (told and s.fixed >= 0.95 * max(1, s.chars))
+
+    return sorted(w for w, s in text.items() if taken(w, s)), told
+
+
+def mark(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def alone(page: Page) -> set[int]:
+    """The numbers of the page's own slots to take when it is judged by itself."""
+    wrapper = Wrapper(fold(page.stream))
+    sums: dict[int, Slot] = {}
+    at = wrapper.match(page.stream)
+    for w, (boiler, blocks) in zip(at, page.slots, strict=True):
+        old = sums.get(w, Slot(1, True, 0, 0, 0))
+        sums[w] = Slot(1, old.boiler and boiler, old.chars + sum(len(plain(p)) for p, _ in blocks), old.linked + sum(n for _, n in blocks), 0)
+    take = set(choose(wrapper, 1, sums)[0])
+    return {k for k, w in enumerate(at) if w in take}
+
+
+class Rule:
+    """A host's wrapper with the slots to take and the template blocks to leave out, (slot, mark of the text)."""
+
+    def __init__(self, rule: str):
+        found = json.loads(rule)
+        self.wrapper = Wrapper(found["wrapper"])
+        self.take, self.fixed = set(found.get("take", ())), {(w, h) for w, hs in found.get("fixed", ()) for h in hs}
+        self.matched: dict[tuple[str, ...], list[int]] = {}
+
+    def match(self, page: Page) -> list[int]:
+        key = tuple(page.stream)
+        if key not in self.matched:
+            if len(self.matched) >= KNOWN // 20:
+                self.matched.clear()
+            self.matched[key] = self.wrapper.match(page.stream)
+        return self.matched[key]
+
+    def text_of(self, page: Page) -> str:
+        at, own = self.match(page), None
+        if -1 in at or not any(w in self.take and not s[0] for w, s in zip(at, page.slots, strict=True)):
+            own = alone(page)
+        whole = own is not None and -1 not in at  # the wrapper says nothing of this page
+        out = []
+        for k, (w, (boiler, blocks)) in enumerate(zip(at, page.slots, strict=True)):
+            if boiler or not (k in own if whole or w < 0 else w in self.take):
+                continue
+            out += [t for pieces, _ in blocks if (t := plain(pieces)) and (not self.fixed or (w, mark(t)) not in self.fixed)]
+        return " ".join(out)
 
 
-def _seen(pages: DataFrame) -> DataFrame:
-    """Rows (host, stream, path, first, boiler, chars, linked, low, high): a stream per page, then its slots; first is 1 at a path's first slot."""
-    names = ["host", "stream", "path", "first", "boiler", "chars", "linked", "low", "high"]
+class Rules(dict):
+    """Rules by their JSON, a bounded number of them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "html"):
-            out: list[list] = [[] for _ in names]
-            for url, source in zip(batch.column(0).to_pylist(), texts, strict=True):
-                host, page = _host(url), Page(source)
-                rows = [(host, json.dumps(page.stream), None, None, None, None, None, None, None)]
-                met: set[str] = set()
-                for path, boiler, pieces, linked in page.slots:
-                    text = plain(pieces)
-                    h = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    rows.append((host, None, path, int(path not in met), boiler, len(text), linked, h, h))
-                    met.add(path)
-                for r in rows:
-                    for column, v in zip(out, r, strict=True):
-                        column.append(v)
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+    def __missing__(self, rule: str) -> Rule:
+        if len(self) >= KNOWN:
+            self.clear()
+        found = self[rule] = Rule(rule)
+        return found
 
-    return pages.select("url", "html").mapInArrow(run, "host string, stream string, path string, first long, boiler boolean, chars long, linked long, low long, high long")
 
+def _host() -> Column:
+    """Of `url`: the host with its port, in lower case; '' where there is none."""
+    whole = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
+    return F.lower(F.regexp_extract(whole, r"([^@]*)$", 1))
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, main, template): the wrapper as JSON, the path of the main part, paths of template and link slots."""
-    seen = durable(_seen(pages))
-    streams = seen.where("stream is not null").groupBy("host", "stream").agg(F.count("*").alias("n"))
-    salted = streams.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS)))
 
-    def part(frame: pd.DataFrame) -> pd.DataFrame:
-        by = frame.sort_values(["n", "stream"], ascending=[False, True])
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(infer(map(json.loads, by["stream"])))], "n": [int(frame["n"].sum())]})
+def _per_host(pages: DataFrame, rules: DataFrame, work: Callable[[pa.RecordBatch, list[str], list[Rule]], pa.RecordBatch], schema: str) -> DataFrame:
+    """work over pages (with `html` and, last, the host) and the rule of each page's host; rules: (host, rule)."""
+    host = pages.columns[-1]
+    size = rules.agg(F.coalesce(F.sum(F.length("rule") + F.length("host")), F.lit(0))).first()[0]
+    if size <= BROADCAST_CHARS:
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: r.rule for r in rules.collect()})
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        by = frame.sort_values(["n", "wrapper"], ascending=[False, True])
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(infer(map(json.loads, by["wrapper"])))], "pages": [int(frame["n"].sum())]})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = Rules()
+            for batch, sources in chunks(batches, "html"):
+                yield work(batch, sources, [known[shared.value[h]] for h in batch.column(host).to_pylist()])
 
-    parts = salted.groupBy("host", "salt").applyInPandas(part, "host string, wrapper string, n long")
-    whole = parts.groupBy("host").applyInPandas(merge, "host string, wrapper string, pages long")
-    slots = seen.where("path is not null").groupBy("host", "path").agg(
-        F.sum("first").alias("n"), F.max("boiler").alias("boiler"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (F.min("low") == F.max("high")).alias("same")
-    )
-    listed = slots.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("path", "n", "boiler", "chars", "linked", "same"))).alias("slots"))
-    both = whole.join(listed, "host", "left")
+        return pages.mapInArrow(tidy(run), schema)
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [choose(json.loads(w), n, s or []) for w, n, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.string()))], ["host", "wrapper", "main", "template"])
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Rules()
+        for batch, sources in chunks(batches, "html"):
+            yield work(batch, sources, [known[r] for r in batch.column(batch.num_columns - 1).to_pylist()])
 
-    return durable(both.mapInArrow(decide, "host string, wrapper string, main string, template array<string>"))
+    own = rules.select(F.col("host").alias(host), F.col("rule").alias(f"{host}_rule"))
+    return pages.join(own, host).select(*pages.columns, f"{host}_rule").mapInArrow(tidy(joined), schema)
 
 
-def _paths(wrapper: list) -> set[str]:
-    """The paths of all containers of a wrapper."""
-    found, above, todo = set(), [], list(reversed(wrapper))
-    while todo:
-        x = todo.pop()
-        if isinstance(x, list):
-            todo += reversed(x[1])
-        elif x.startswith("/"):
-            if above:
-                above.pop()
-        elif x != "#":
-            above.append(x)
-            found.add(" ".join(above))
-    return found
+def _wrappers(pages: DataFrame) -> DataFrame:
+    """(host, rule, pages): a wrapper for each host, as {"wrapper": items}."""
 
+    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sources in chunks(batches, "html"):
+            yield pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1), pa.array([json.dumps(fold(Page(x).stream)) for x in sources], pa.string())], ["host", "wrapper"])
 
-def choose(wrapper: list, pages: int, slots: list[dict]) -> tuple[str, list[str]]:
-    """The path of the main part and the paths below it whose texts are template."""
-    text = [s for s in slots if not s["boiler"]]
-    # A path's equal texts tell template only where most pages have it: one that a single page has is equal to itself.
-    fixed = lambda s: s["same"] and s["n"] >= max(2, 0.8 * pages)
-    varied = [s for s in text if not fixed(s)] or text
-    known = _paths(wrapper)
-
-    def named(tag: str) -> dict[str, int]:
-        found: dict[str, int] = {}
-        for s in text:
-            parts = s["path"].split(" ")
-            for k, p in enumerate(parts):
-                if p.split(".")[0] == tag:
-                    top = " ".join(parts[: k + 1])
-                    found[top] = found.get(top, 0) + s["chars"]
-                    break
-        return {p: c for p, c in found.items() if not known or p in known} or found
-
-    for tag in ("article", "main"):
-        if found := named(tag):
-            return min(found, key=lambda p: (-found[p], p)), []  # the page says what its article is
-    # The deepest container that holds most of the text that differs and isn't links.
-    total: dict[str, int] = {}
-    for s in varied:
-        parts = s["path"].split(" ")
-        for k in range(len(parts) + 1):
-            p = " ".join(parts[:k])
-            total[p] = total.get(p, 0) + max(0, s["chars"] - s["linked"])
-    most = total.get("", 0)
-    main = max((p for p, c in total.items() if c >= 0.8 * most), key=lambda p: (p.count(" ") + bool(p), p), default="")
-    template = [
-        s["path"] for s in text
-        if s["path"] != main and f"{s['path']} ".startswith(f"{main} ".lstrip()) and (s["same"] and s["n"] >= max(3, pages) and any(not fixed(t) for t in text) or s["linked"] > 0.6 * max(1, s["chars"]))
-    ]
-    return main, sorted(template)
-
-
-def text_of(page: Page, main: str, template: set[str]) -> str:
-    def below(path: str) -> bool:
-        return not main or path == main or path.startswith(main + " ")
-
-    if main and not any(below(s[0]) and not s[1] for s in page.slots):
-        by: dict[str, list] = {}
-        for s in page.slots:
-            row = by.setdefault(s[0], [0, 0, s[1]])
-            row[0] += len(plain(s[2]))
-            row[1] += s[3]
-        main, names = choose([], 1, [{"path": p, "n": 1, "boiler": x, "chars": c, "linked": n, "same": False} for p, (c, n, x) in sorted(by.items())])
-        template = set(names)
-    return " ".join(t for s in page.slots if below(s[0]) and not s[1] and s[0] not in template and (t := plain(s[2])))
+    made = pages.mapInArrow(tidy(streams), "host string, wrapper string").groupBy("host", "wrapper").agg(F.count("*").alias("n"))
+    made = durable(made)
+    # Of each host about FAN_IN meet in a group, as long as there are more.
+    left = made.groupBy("host").agg(F.count("*").alias("k")).agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        by = frame.sort_values(["n", "wrapper"], ascending=[False, True])
+        return pd.DataFrame({"host": frame["host"].iloc[:1], "salt": frame["salt"].iloc[:1], "wrapper": [json.dumps(infer(map(json.loads, by["wrapper"])))], "n": [int(frame["n"].sum())]})
+
+    made = made.withColumn("salt", F.xxhash64("wrapper"))
+    while left > 1:
+        groups = -(-left // FAN_IN)
+        # Salts stay those of the level before, so that what is merged doesn't depend on what was made.
+        made = made.withColumn("salt", F.pmod("salt", F.lit(groups))).groupBy("host", "salt").applyInPandas(merge, "host string, salt long, wrapper string, n long")
+        left = groups
+    return durable(made.select("host", F.concat(F.lit('{"wrapper": '), "wrapper", F.lit("}")).alias("rule"), F.col("n").alias("pages")))
+
+
+def rules(pages: DataFrame) -> DataFrame:
+    """(host, rule): the wrapper of each host as JSON, with the slots to take and the template blocks; the host is pages' last column."""
+    found = _wrappers(pages)
+    names = ["host", "w", "mark", "n", "boiler", "chars", "linked"]
+
+    def count(batch: pa.RecordBatch, sources: list[str], known: list[Rule]) -> pa.RecordBatch:
+        """A row per slot of a page's wrapper, and one per text of a block in it."""
+        out: list[list] = [[] for _ in names]
+        for host, source, rule in zip(batch.column(host_at).to_pylist(), sources, known, strict=True):
+            page = Page(source)
+            slots: dict[int, list] = {}
+            blocks: dict[tuple[int, int], int] = {}
+            for w, (boiler, parts) in zip(rule.match(page), page.slots, strict=True):
+                row = slots.setdefault(w, [True, 0, 0])
+                row[0] &= boiler
+                for pieces, linked in parts:
+                    t = plain(pieces)
+                    row[1] += len(t)
+                    row[2] += linked
+                    if t and not boiler:
+                        blocks[w, mark(t)] = blocks.get((w, mark(t)), 0) + len(t)
+            for r in (*((host, w, None, 1, *row) for w, row in slots.items()), *((host, w, h, 1, False, c, 0) for (w, h), c in blocks.items())):
+                for column, v in zip(out, r, strict=True):
+                    column.append(v)
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+
+    host_at = len(pages.columns) - 1
+    seen = _per_host(pages, found.select("host", "rule"), count, "host string, w int, mark long, n long, boiler boolean, chars long, linked long")
+    sums = durable(seen.groupBy("host", "w", "mark").agg(F.sum("n").alias("n"), F.min("boiler").alias("boiler"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")))
+    often = sums.where(F.col("mark").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(found.select("host", "pages"), "host").where(F.col("n") >= MOST_PAGES * F.col("pages"))
+    # Both lists are as long as a wrapper and a page are, however many pages a host has.
+    fixed = often.groupBy("host", "w").agg(F.sum("chars").alias("fixed"), F.array_sort(F.collect_list("mark")).alias("marks"))
+    slots = sums.where("mark is null and w >= 0").drop("mark").join(fixed, ["host", "w"], "left")
+    listed = slots.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("w", "n", "boiler", "chars", "linked", F.coalesce("fixed", F.lit(0)).alias("fixed"), "marks"))).alias("slots"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for rule, pages, rows in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                own = json.loads(rule)
+                take, told = choose(Wrapper(own["wrapper"]), pages, {r["w"]: Slot(r["n"], r["boiler"], r["chars"], r["linked"], r["fixed"]) for r in rows or ()})
+                own["take"] = take
+                own["fixed"] = [[r["w"], r["marks"]] for r in rows or () if told and r["w"] in set(take) and r["marks"]]
+                made.append(json.dumps(own))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], ["host", "rule"])
+
+    return durable(found.join(listed, "host", "left").mapInArrow(tidy(decide), "host string, rule string"))
 
 
 def extract(pages: DataFrame, out: str = "text") -> DataFrame:
     """pages with the main text of each page's html."""
-    found = wrappers(pages)
-    size = found.agg(F.coalesce(F.sum(F.length("main") + F.length(F.to_json("template"))), F.lit(0))).first()[0]
-    rules = found.select("host", "main", "template")
     kept = [c for c in pages.columns if c != out]
+    host = "host_of_" + "_".join(pages.columns)  # longer than any of them
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != out)
+    hosted = pages.select(*kept, _host().alias(host))
 
-    def texts(batch: pa.RecordBatch, sources: list[str], rule: Iterator[tuple[str, set[str]]]) -> pa.RecordBatch:
-        made = [text_of(Page(s), *r) for s, r in zip(sources, rule, strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(made, pa.string())], [*kept, out])
-
-    if size <= BROADCAST_CHARS:
-        shared = pages.sparkSession.sparkContext.broadcast({r.host: (r.main, set(r.template)) for r in rules.collect()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, sources in chunks(batches, "html"):
-                yield texts(batch, sources, [shared.value[_host(u)] for u in batch.column("url").to_pylist()])
-
-        return pages.select(*kept).mapInArrow(run, f"{schema}, `{out}` string")
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sources in chunks(batches, "html"):
-            yield texts(batch, sources, [(m or "", set(t or [])) for m, t in zip(batch.column("_main").to_pylist(), batch.column("_template").to_pylist(), strict=True)])
+    def texts(batch: pa.RecordBatch, sources: list[str], known: list[Rule]) -> pa.RecordBatch:
+        made = [rule.text_of(Page(s)) for s, rule in zip(sources, known, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(made, pa.string())], [*kept, out])
 
-    own = F.lower(F.regexp_extract(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), r"([^@]*)$", 1))
-    both = pages.select(*kept, own.alias("_host")).join(rules.toDF("_host", "_main", "_template"), "_host", "left").drop("_host")
-    return both.mapInArrow(joined, f"{schema}, `{out}` string")
+    return _per_host(hosted, rules(hosted.select("html", host)), texts, f"{schema}, `{out}` string")

@@ -1,4 +1,7 @@
 import hashlib
+import json
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -67,6 +70,86 @@ def test_contents_of_other_elements_stay(spark):
     assert [r.text for r in got.orderBy("page_id").collect()] == [f"Sum {i} x = {i} plain press after no video end {i}" for i in range(3)]
 
 
+PLAIN = (
+    "<body><div><p>Seen {0} times<div><p>Line {1}</div></div><div><h2>Title {0}</h2><section><p>{2}</p><p>Thank you for reading us</p><p>{3}</p></section></div>"
+    "<div><p>Written on day {1}</div>"
+)
+
+
+def plain_pages(n):
+    rng = random.Random(3)
+    body = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(60))
+    rows = [(i, 7 * i, body(), body()) for i in range(n)]
+    return [("http://plain.org/", PLAIN.format(*r)) for r in rows], [f"Title {i} {a} {b}" for i, _, a, b in rows]
+
+
+def test_the_wrapper_alone_finds_the_text(spark, monkeypatch):
+    """No article, no class, three containers of the same path: the wrapper's place and what its slots take in decide."""
+    pages, want = plain_pages(12)
+    got = [r.text for r in html.extract(frame(spark, pages)).orderBy("page_id").collect()]
+    assert got == want
+    # A page by itself can't tell the line that all pages have.
+    assert [html.Rule('{"wrapper": []}').text_of(html.Page(h)) for _, h in pages] != want
+
+
+def test_a_host_of_copies_keeps_its_text(spark):
+    pages, want = plain_pages(1)
+    got = [r.text for r in html.extract(frame(spark, pages * 9)).collect()]
+    assert len(set(got)) == 1 and want[0].split("Title 0 ")[1][:100] in got[0]
+
+
+def test_deep_pages_need_linear_memory(spark):
+    deep = ["<div>" * 100_000 + "deep", "<div><section>" * 50_000 + "deep<p>er" + "</section></div>" * 50_000 + "end"]
+    got = html.extract(frame(spark, [("http://deep.org/", h) for h in deep]))
+    assert [r.text for r in got.orderBy("page_id").collect()] == ["deep", "deep er end"]
+
+
+def brute(pages):
+    """One host after another, all its pages at once."""
+    out = {}
+    for host in {h for _, h, _ in pages}:
+        own = [(i, html.Page(x or "")) for i, h, x in pages if h == host]
+        streams = Counter(json.dumps(html.fold(p.stream)) for _, p in own)
+        items = html.infer(json.loads(x) for x in sorted(streams, key=lambda x: (-streams[x], x)))
+        wrapper, sums, marks = html.Wrapper(items), {}, Counter()
+        for _, p in own:
+            at, met = wrapper.match(p.stream), set()
+            for w, (boiler, blocks) in zip(at, p.slots, strict=True):
+                old = sums.get(w, html.Slot(0, True, 0, 0, 0))
+                texts = [(html.plain(x), n) for x, n in blocks]
+                sums[w] = html.Slot(old.pages + (w not in met), old.boiler and boiler, old.chars + sum(len(t) for t, _ in texts), old.linked + sum(n for _, n in texts), 0)
+                marks.update({(w, t) for t, _ in texts if not boiler} - met)
+                met |= {w, *((w, t) for t, _ in texts)}
+        often = {(w, t) for (w, t), n in marks.items() if n >= max(html.LEAST_PAGES, html.MOST_PAGES * len(own))}
+        for _, p in own:
+            for w, (boiler, blocks) in zip(wrapper.match(p.stream), p.slots, strict=True):
+                if not boiler:
+                    sums[w] = sums[w]._replace(fixed=sums[w].fixed + sum(len(t) for x, _ in blocks if (w, t := html.plain(x)) in often))
+        take, told = html.choose(wrapper, len(own), {w: s for w, s in sums.items() if w >= 0})
+        rule = html.Rule(json.dumps({"wrapper": items, "take": take, "fixed": [[w, [html.mark(t)]] for w, t in often if told and w in take]}))
+        out |= {i: rule.text_of(p) for i, p in own}
+    return out
+
+
+def test_many_tasks_find_what_one_does(spark, monkeypatch):
+    rng = random.Random(8)
+    pages, _ = plain_pages(20)
+    pages += [(f"http://a.com/{i}", PAGE.format(i=i, j=7 * i)) for i in range(20)]
+    block = lambda i: rng.choice(["<div><p>side {0}</div>", "<section><h2>x{0}<p>many words of {0} and so on</section>", "<ul><li>a<li>b</ul>", "<div><div>in {0}</div></div>"]).format(i)
+    pages += [("http://mixed.net/", "<body>" + "".join(block(i) for _ in range(rng.randint(1, 6))) + f"<div><section><p>{' '.join(f'w{rng.randrange(900)}' for _ in range(80))}</section></div>") for i in range(40)]
+    df = frame(spark, pages)
+    rows = [(r.page_id, r.host, r.html) for r in df.select("page_id", html._host().alias("host"), "html").collect()]
+    want = brute(rows)
+    for fan_in, chars in ((64, 8_000_000), (64, -1)):
+        monkeypatch.setattr(html, "FAN_IN", fan_in)
+        monkeypatch.setattr(html, "BROADCAST_CHARS", chars)
+        got = {r.page_id: r.text for r in html.extract(df.repartition(5)).collect()}
+        assert got == want
+    monkeypatch.setattr(html, "FAN_IN", 3)  # several levels of merging
+    near = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(near[i] == want[i] for i, host, _ in rows if host != "mixed.net")  # wrappers of chaos depend on the order
+
+
 def test_wrappers():
     a = ["body", "nav", "#", "/nav", "div.card", "#", "/div.card", "div.card", "#", "/div.card", "/body"]
     b = ["body", "div.card", "#", "/div.card", "aside", "#", "/aside", "/body"]
