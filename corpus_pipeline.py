@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and
 rereads as the next stage's docs. All but the last keep the columns of documents.
+
+Null and empty texts score as texts without words do; where they pass, no other stage drops them, and each is packed as its
+end id. Rows that repeat in doc_id and text become one in the second stage, as do near duplicates; rows without a doc_id all
+stay. Ties are broken by doc_id. An empty table gives an empty table, at every stage. Columns that documents doesn't have
+pass through the first four stages, whatever their names.
 """
 
 from __future__ import annotations

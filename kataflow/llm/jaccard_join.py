@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from kataflow.llm.common import CACHED_WORDS, chunks, durable, least_of, mix, tidy
 from kataflow.llm.components import components
 
-FRAGMENTS, SHORT = 8, 8
+FRAGMENTS, SHORT, SALTS = 8, 8, 256
 #: Entries of the list of frequent n-grams (2 MB when broadcast), how many a task counts at once, least counts.
 HOT, COUNTING, HOT_IN_TASK, HOT_IN_ALL = 1 << 18, 1 << 20, 4, 24
 #: Bits of the filter that says which nodes have candidates (4 MB when broadcast).
@@ -98,11 +98,11 @@ def _key(ids: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Rows of documents (doc_id, n, key, sketch) and of frequent n-grams of a task (gram, times), told apart by gram."""
+    """Rows of documents (doc_id, mark, n, key, sketch) and of frequent n-grams of a task (gram, times), told apart by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, grams, times, waiting, held = Sets(rule.width), np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
-        names, words = ["doc_id", "n", "key", "sketch", "gram", "times"], pa.list_(pa.int64())
+        names, words = ["doc_id", "mark", "n", "key", "sketch", "gram", "times"], pa.list_(pa.int64())
 
         def count() -> tuple[np.ndarray, np.ndarray]:
             found, each = np.unique(np.concatenate(waiting), return_counts=True)
@@ -118,7 +118,7 @@ def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
             n = [len(x) for x in ids]
             keys = [_key(x) if len(x) else None for x in ids]
             none = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array([_sketch(x) for x in ids], words), none, none], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array([_sketch(x) for x in ids], words), none, none], names)
             waiting += ids
             held += sum(n)
             if held > COUNTING:
@@ -128,9 +128,9 @@ def _signatures(docs: DataFrame, rule: Rule) -> DataFrame:
             grams, times = count()
         hot = times >= HOT_IN_TASK
         none = pa.nulls(int(hot.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(int(hot.sum()), words), pa.array(grams[hot].astype(np.int64)), pa.array(times[hot])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(int(hot.sum()), words), pa.array(grams[hot].astype(np.int64)), pa.array(times[hot])], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, n long, key long, sketch array<long>, gram long, times long")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).mapInArrow(tidy(run), "doc_id long, mark long, n long, key long, sketch array<long>, gram long, times long")
 
 
 class Order:
@@ -282,18 +282,20 @@ def _hub_pairs(members: DataFrame, rule: Rule) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray, rule: Rule) -> DataFrame:
     """(a, b) of nodes at t or more: enough of them to connect all that any link connects."""
-    # One exchange by place serves the removal of repeated nodes, the counts and the join of both.
-    rows = _prefixes(docs, hot, rule).repartition("place").groupBy("place", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
-    # (The maxima are always positive; asking for them lets both sides read the same columns and so the same exchange.)
-    lists = rows.groupBy("place").agg(F.count("*").alias("k"), F.max("n").alias("_n"), F.max("pos").alias("_p")).where("k > 1 and _n > 0 and _p > 0").select("place", "k")
-    shared = durable(rows.join(lists, "place"))
+    # One exchange serves the removal of repeated nodes and the counts. Lists of frequent n-grams (their places are negative)
+    # are dealt over SALTS tasks, uncounted: they go the way of long lists.
+    often = F.col("place") < 0
+    dealt = _prefixes(docs, hot, rule).withColumn("salt", F.when(often, F.pmod("key", F.lit(SALTS))).otherwise(0)).repartition("place", "salt")
+    rows = dealt.groupBy("place", "salt", "key").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    k = F.when(often, SHORT + 1).otherwise(F.count("*").over(Window.partitionBy("place", "salt")))
+    shared = durable(rows.withColumn("k", k).where("k > 1").drop("salt"))
     few = shared.where(F.col("k") <= SHORT)
     short = few.alias("x").join(few.alias("y"), "place").where((F.col("x.key") < F.col("y.key")) & _may(F.col("x.n"), F.col("y.n"), rule) & _bound("x", "y", rule)).select(*_pair("x", "y")).distinct()
 
     score = shared.groupBy("key").agg((F.count("*") / F.first("n")).alias("score"))
     many = shared.where(F.col("k") > SHORT).join(score, "key")
     hub = many.groupBy("place").agg(F.max(F.struct("score", "key", "n", "pos")).alias("h")).select("place", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
-    members = durable(many.join(hub, "place"))
+    members = durable(many.join(durable(hub), "place"))  # stored, so that the join can split a long list
     checked = _verified(docs, hot, _close(short.unionByName(_hub_pairs(members, rule)).distinct(), nodes, rule), rule)
     found = durable(checked.where(_linked(rule)).select("a", "b"))
 
@@ -314,26 +316,41 @@ def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray, rule: Rule) -> Dat
     return found.union(_verified(docs, hot, rest, rule).where(_linked(rule)).select("a", "b"))
 
 
-def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach from each document."""
-    docs = docs.select("doc_id", "text")
+def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored rows (doc_id, mark, n, key) of documents; (key, label); and (label, least): the smallest (doc_id, mark) of what links reach.
+
+    mark is the hash of a row's text: rows that share a doc_id are told apart by it.
+    """
     first = durable(_signatures(docs, rule))
     grams = durable(first.where("gram is not null").groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= HOT_IN_ALL))
     top = grams.where(F.col("times") >= least_of(grams, "times", HOT, HOT_IN_ALL)).toPandas().sort_values(["times", "gram"])  # HOT rows at most
     hot = top["gram"].to_numpy().astype(np.uint64)
-    rows = first.where("gram is null").select("doc_id", "n", "key")
-    nodes = durable(first.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")))
+    rows = first.where("gram is null").select("doc_id", "mark", "n", "key")
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
+    nodes = durable(first.where("key is not null").groupBy("key").agg(least.alias("least"), F.first("sketch").alias("sketch")))
     labels = components(links(docs, nodes.select("key", "sketch"), hot, rule))
-    named = nodes.drop("sketch").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_key = named.select("key", "label").join(least, "label").select("key", "component_id")
+    named = durable(nodes.drop("sketch").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
+    return rows, named.select("key", "label"), durable(named.groupBy("label").agg(F.min("least").alias("least")))  # stored, so that a join with it can split a large component
+
+
+def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach from each document."""
+    rows, labels, least = _grouped(docs, rule)
+    of_key = labels.join(least, "label").select("key", F.col("least.doc_id").alias("component_id"))
     return rows.join(of_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """docs without those that link, over any chain, to one of a smaller doc_id; rows that repeat whole stay once."""
-    kept = join(docs, rule).where("doc_id = component_id").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
+    """One document of each group that links connect: that of the smallest doc_id.
+
+    Documents without words all stay, and so do rows without a doc_id. Rows that share doc_id and text stay once: the one
+    whose other columns, as JSON, come first. Other texts of that doc_id are documents of their own.
+    """
+    rows, _, least = _grouped(docs, rule)
+    kept = least.where("least is not null").select("least.*").union(rows.where("key is null and doc_id is not null").select("doc_id", "mark").distinct())
+    mark, rest, nth = (x + "_of_" + "_".join(docs.columns) for x in ("mark", "rest", "nth"))  # longer than any column
     # Dealt once, by doc_id: that serves the window and the join.
-    once = docs.where("doc_id is not null").repartition("doc_id").withColumn("_nth", nth).where("_nth = 1").join(kept, "doc_id", "left_semi")
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    dealt = docs.where("doc_id is not null").repartition("doc_id").withColumns({mark: F.xxhash64("text"), rest: F.to_json(F.struct(F.lit(1).alias("_"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))))})
+    first = dealt.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(rest))).where(F.col(nth) == 1)
+    once = first.join(kept.toDF("doc_id", mark), ["doc_id", mark], "left_semi")
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -132,16 +132,25 @@ def detect(df: DataFrame, text: str = "text", out: str = "pii", kinds: tuple[str
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii") -> DataFrame:
-    """df with every span of `spans` in `text` replaced by its kind in brackets; overlapping spans become one."""
+    """df with every span of `spans` in `text` replaced by its kind in brackets; overlapping spans become one.
+
+    What lies between spans is cut out of the code points at four bytes each, so that a piece costs its own length.
+    """
     t = F.col(text)
     order = F.array_sort(F.transform(F.col(spans), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    none = F.array().cast("array<struct<at:int,upto:int,kind:string>>")
 
     def step(a: Column, x: Column) -> Column:
-        masked = F.concat(a["out"], F.substring(t, a["pos"] + 1, x["start"] - a["pos"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["pos"], x["end"]).alias("pos"), F.when(x["start"] >= a["pos"], masked).otherwise(a["out"]).alias("out"))
-
-    fold = F.aggregate(order, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["pos"] + 1, F.char_length(t))))
-    return df.withColumn(text, F.when(F.size(spans) > 0, fold).otherwise(t))
+        piece = F.struct(a["pos"].alias("at"), x["start"].alias("upto"), x["kind"].alias("kind"))
+        return F.struct(F.greatest(a["pos"], x["end"]).alias("pos"), F.when(x["start"] >= a["pos"], F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
+
+    points, mark = F.encode(t, "UTF-32"), F.lit(b"\x00\x00\xfe\xff")  # decode takes one mark off
+    cut = lambda at, upto: F.decode(F.concat(mark, F.substring(points, at * 4 + 1, (upto - at) * 4)), "UTF-32")
+    masked = F.aggregate(
+        order, F.struct(F.lit(0).alias("pos"), F.filter(none, lambda x: F.lit(True)).alias("out")), step,
+        lambda a: F.concat(F.array_join(F.transform(a["out"], lambda p: F.concat(cut(p["at"], p["upto"]), F.lit("["), F.upper(p["kind"]), F.lit("]"))), ""), cut(a["pos"], F.char_length(t))),
+    )
+    return df.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(t))
 
 
 def _count(kind: str) -> Column:

@@ -98,6 +98,16 @@ def test_near_duplicate_stage_is_exact(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()) == kept and kept != sorted(i for i, _, least in own if i == least)
 
 
+def test_kept_rows_are_told_apart(spark):
+    """Rows that share a doc_id but not the text, repeats that differ in another column, columns named like ours."""
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a, "y"), (1, a, "x"), (1, b, "z"), (2, b, "z"), (3, a + " more", "x"), (4, None, "x"), (4, None, "x"), (5, "", "x"), (None, a, "x"), (None, a, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _nth string").withColumns({"mark": F.lit(1), "key": F.lit("k"), "least": F.lit(2)}).repartition(3)
+    kept = jaccard_join.keep_one(df, jaccard_join.Rule(5, 80))
+    assert sorted(((r.doc_id, r.text, r._nth) for r in kept.collect()), key=str) == sorted([(1, a, "x"), (1, b, "z"), (4, None, "x"), (5, "", "x"), (None, a, "x"), (None, a, "x")], key=str)
+    assert kept.columns == df.columns
+
+
 def test_frequent_grams_go_last():
     order = jaccard_join.Order(np.array([5, 3], np.uint64))
     assert order.place(np.array([1, 3, 5, 9], np.uint64)).tolist() == [1, 9, (1 << 63) + 0, (1 << 63) + 1]
