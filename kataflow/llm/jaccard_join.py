@@ -35,7 +35,7 @@ from kataflow.llm.components import components
 FRAGMENTS, SHORT, SALTS = 8, 8, 256
 #: Entries of the list of frequent n-grams (2 MB when broadcast), how many a task counts at once, least counts.
 HOT, COUNTING, HOT_IN_TASK, HOT_IN_ALL = 1 << 18, 1 << 20, 4, 24
-#: Bits of the filter that says which nodes have candidates (4 MB when broadcast).
+#: Bits of the filter that says which texts have candidates (4 MB when broadcast).
 FILTER_BITS = 1 << 25
 #: Least bits of a sketch.
 SKETCH_BITS = 1024
@@ -177,7 +177,7 @@ def _prefixes(docs: DataFrame, hot: np.ndarray, rule: Rule) -> DataFrame:
 
 
 def _segments(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray, rule: Rule) -> DataFrame:
-    """(key, fragment, ids): the sets of nodes that pass the filter, cut at fixed points of the global order."""
+    """(key, fragment, ids): the sets of texts whose hash passes the filter, cut at fixed points of the global order."""
     shared = docs.sparkSession.sparkContext.broadcast((hot, wanted))
     cuts = (np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 63) // (FRAGMENTS - 1)))[: FRAGMENTS - 2]
     cuts = np.append(cuts, _TOP)
@@ -185,23 +185,25 @@ def _segments(docs: DataFrame, hot: np.ndarray, wanted: np.ndarray, rule: Rule)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen = Sets(rule.width), set()
         order, bits = Order(shared.value[0]), shared.value[1]
-        for _, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text"):
             out: tuple[list, list, list] = ([], [], [])
-            for t in texts:
-                ids = sets.of(t)
-                key = _key(ids)
-                bit = key % FILTER_BITS
-                if not len(ids) or key in seen or not bits[bit >> 3] >> (bit & 7) & 1:
+            for t, mark in zip(texts, batch.column(1).to_pylist(), strict=True):
+                bit = mark % FILTER_BITS
+                if mark in seen or not bits[bit >> 3] >> (bit & 7) & 1:
                     continue
-                if len(seen) > CACHED_WORDS:
+                if len(seen) > CACHED_WORDS:  # it only saves work: copies met again are removed by key
                     seen.clear()
-                seen.add(key)
+                seen.add(mark)
+                ids = sets.of(t)
+                if not len(ids):
+                    continue
+                key = _key(ids)
                 for k, part in enumerate(np.split(places := order.place(ids), np.searchsorted(places, cuts))):
                     for column, v in zip(out, (key, k, part.tobytes()), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["key", "fragment", "ids"])
 
-    return docs.select("text").mapInArrow(tidy(run), "key long, fragment int, ids binary")
+    return docs.select("text", F.xxhash64("text").alias("mark")).mapInArrow(tidy(run), "key long, fragment int, ids binary")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,14 +212,16 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("na"), b.column("nb"), pa.array(n, pa.int64())], ["a", "b", "na", "nb", "common"])
 
 
-def _verified(docs: DataFrame, hot: np.ndarray, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """pairs (a, b, na, nb) with their Jaccard similarity: partial overlaps by fragment, summed per pair."""
+def _verified(docs: DataFrame, nodes: DataFrame, hot: np.ndarray, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """pairs (a, b, na, nb) with their Jaccard similarity: partial overlaps by fragment, summed per pair.
+
+    nodes has the hash of one text (mark) of each key: only those texts' sets are made again.
+    """
     pairs = durable(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).select(F.pmod("key", F.lit(FILTER_BITS)).alias("bit"))
-    words = ends.groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("v")).collect()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes.select("key", "mark"), "key").select(F.pmod("mark", F.lit(FILTER_BITS)).alias("bit"))
+    words = ends.groupBy(F.shiftright("bit", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("v")).toPandas()  # FILTER_BITS / 32 rows at most
     wanted = np.zeros(FILTER_BITS // 32, "<u4")
-    for r in words:
-        wanted[r.w] = r.v
+    wanted[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
     cut = durable(_segments(docs, hot, wanted.view(np.uint8), rule).groupBy("key", "fragment").agg(F.first("ids").alias("ids")))
     x = cut.select(F.col("key").alias("a"), "fragment", F.col("ids").alias("x"))
     y = cut.select(F.col("key").alias("b"), "fragment", F.col("ids").alias("y"))
@@ -296,13 +300,13 @@ def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray, rule: Rule) -> Dat
     many = shared.where(F.col("k") > SHORT).join(score, "key")
     hub = many.groupBy("place").agg(F.max(F.struct("score", "key", "n", "pos")).alias("h")).select("place", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.pos").alias("hub_pos"))
     members = durable(many.join(durable(hub), "place"))  # stored, so that the join can split a long list
-    checked = _verified(docs, hot, _close(short.unionByName(_hub_pairs(members, rule)).distinct(), nodes, rule), rule)
+    checked = _verified(docs, nodes, hot, _close(short.unionByName(_hub_pairs(members, rule)).distinct(), nodes, rule), rule)
     found = durable(checked.where(_linked(rule)).select("a", "b"))
 
     # What the hub leaves open in its list: pairs with a node that isn't linked to it, of different components so far.
     group = components(found).select(F.col("node").alias("key"), "label")
     last = _distance(members, checked, "d").withColumn("open", F.coalesce(F.col("d") > rule.far + 1e-12, F.lit(True)))
-    last = durable(last.join(group, "key", "left").withColumn("label", F.coalesce("label", "key")).join(nodes, "key").select("place", "key", "n", "pos", "d", "open", "label", "sketch"))
+    last = durable(last.join(group, "key", "left").withColumn("label", F.coalesce("label", "key")).join(nodes.select("key", "sketch"), "key").select("place", "key", "n", "pos", "d", "open", "label", "sketch"))
     near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= rule.far + 1e-9, F.lit(True))
     rest = (
         last.where("open").alias("x").join(last.alias("y"), "place")
@@ -313,7 +317,7 @@ def links(docs: DataFrame, nodes: DataFrame, hot: np.ndarray, rule: Rule) -> Dat
     rest = durable(rest)
     if rest.limit(1).count() == 0:
         return found
-    return found.union(_verified(docs, hot, rest, rule).where(_linked(rule)).select("a", "b"))
+    return found.union(_verified(docs, nodes, hot, rest, rule).where(_linked(rule)).select("a", "b"))
 
 
 def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -327,9 +331,9 @@ def _grouped(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFra
     hot = top["gram"].to_numpy().astype(np.uint64)
     rows = first.where("gram is null").select("doc_id", "mark", "n", "key")
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark")))
-    nodes = durable(first.where("key is not null").groupBy("key").agg(least.alias("least"), F.first("sketch").alias("sketch")))
-    labels = components(links(docs, nodes.select("key", "sketch"), hot, rule))
-    named = durable(nodes.drop("sketch").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
+    nodes = durable(first.where("key is not null").groupBy("key").agg(least.alias("least"), F.first("sketch").alias("sketch"), F.min("mark").alias("mark")))
+    labels = components(links(docs, nodes.select("key", "sketch", "mark"), hot, rule))
+    named = durable(nodes.select("key", "least").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")))
     return rows, named.select("key", "label"), durable(named.groupBy("label").agg(F.min("least").alias("least")))  # stored, so that a join with it can split a large component
 
 
