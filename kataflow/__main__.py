@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kataflow.operators import candidates, cases, counts, headwords, resolve, review
 from kataflow.plans import runs
@@ -33,8 +35,24 @@ def intersect(spark: SparkSession, a: argparse.Namespace) -> None:
     tables.write_csv(counts.ordered(found), a.out)
 
 
+def status(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Prints the shards done and expected, and failures."""
+    print(json.dumps(runs.status(spark, runs.Config.load(a.config)), sort_keys=True))
+
+
+def verify_files(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Compares files with the sha256 sums of a JSON object (path: sum); ends with 1 where one differs."""
+    with open(a.sums, encoding="utf-8") as f:
+        pinned = json.load(f)
+    wrong = tables.verify(spark, a.directory, pinned)
+    print("\n".join(wrong) or f"verified {len(pinned)} files")
+    if wrong:
+        raise SystemExit(1)
+
+
 def build_headwords(spark: SparkSession, a: argparse.Namespace) -> None:
-    tables.write_headwords(index_of(spark, a.headwords), os.path.join(a.out, "headwords_combined.txt"), os.path.join(a.out, "headword_provenance.jsonl"))
+    n = tables.write_headwords(index_of(spark, a.headwords), os.path.join(a.out, "headwords_combined.txt"), os.path.join(a.out, "headword_provenance.jsonl"))
+    print(f"wrote {n} headwords")
 
 
 def prepare_frequencies(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -55,19 +73,23 @@ def debug_traces(spark: SparkSession, a: argparse.Namespace) -> None:
         tables.write_lines((x.line for x in rows.toLocalIterator()), os.path.join(a.out, f"{r.file[:-4]}_result.txt"))
     once = resolve.combined(resolve.first_per(traced, ["token"], ["file", "line_no"]))
     tables.write_lines((x.line for x in once.toLocalIterator()), os.path.join(a.out, "_combined_debug.txt"))
+    sums = traced.agg(F.count("*"), F.count_if("is_fatal"), F.coalesce(F.sum("hit_count"), F.lit(0))).first()
+    print(f"traced {sums[0]} tokens, {sums[1]} fatal, {sums[2]} hits")
 
 
 def materialize_cases(spark: SparkSession, a: argparse.Namespace) -> None:
     parsed = cases.strict(cases.parse(tables.read_numbered(spark, a.dumps, results=True)))
-    once = cases.materialize(parsed).orderBy("file", "line_no")
+    once = cases.materialize(parsed).orderBy("file", "line_no").cache()
     tables.write_lines((r.l for r in once.select(cases.line_of(once.token, once.prefix_hits, once.fuzzy_tail_hits).alias("l")).toLocalIterator()), os.path.join(a.out, "_combined_testcases.txt"))
+    kept = once.agg(F.count("*"), F.coalesce(F.sum("duplicates"), F.lit(0))).first()
+    print(f"wrote {kept[0]} cases, left out {kept[1]} duplicates")
 
 
-def main() -> None:
+def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="kataflow", description=__doc__)
     commands = parser.add_subparsers(required=True)
     for run, options in (
-        (count, ("config",)), (merge, ("config",)), (intersect, ("counts", "banks", "out")), (build_headwords, ("headwords", "out")),
+        (count, ("config",)), (merge, ("config",)), (status, ("config",)), (verify_files, ("directory", "sums")), (intersect, ("counts", "banks", "out")), (build_headwords, ("headwords", "out")),
         (prepare_frequencies, ("counts", "headwords", "out")), (debug_traces, ("dumps", "headwords", "out")), (materialize_cases, ("dumps", "out")),
     ):
         command = commands.add_parser(run.__name__.replace("_", "-"), help=run.__doc__)
@@ -76,7 +98,7 @@ def main() -> None:
         if run is intersect:
             command.add_argument("--any-size", action="store_true", help="don't demand the dictionary's known size")
         command.set_defaults(run=run)
-    args = parser.parse_args()
+    args = parser.parse_args(argv)
     args.run(session(), args)
 
 

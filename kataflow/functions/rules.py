@@ -213,17 +213,25 @@ def rule_column(rule: Rule, s: Column) -> Column:
         n = len(rule.pre) + len(rule.suf[0])
         return F.when(s.startswith(rule.pre) & s.endswith(rule.suf[0]), F.concat(F.substring(s, F.lit(len(rule.pre) + 1), F.char_length(s) - n), F.lit(rule.add or "")))
     rx = (rule.own if rule.own else rule.pattern)[:-1] + r"\z"
-    rest = F.regexp_extract(s, rx, 1)
+    # Cheap tests come first; the pattern runs once, and its first group is never empty where it matches.
     if rule.kind in ("twice", "half"):
-        return F.when(s.rlike(rx), F.concat(rest, F.lit("-"), rest) if rule.kind == "twice" else rest)
-    ok = s.rlike(rx)
-    for bar in rule.bars:
-        ok = ok & ~s.startswith(bar)
-    if rule.no_in:
-        ok = ok & ~rest.endswith("in")
-    root = F.concat(F.lit(rule.out), rest)
-    tail = F.regexp_extract(s, rx, 2) if rule.add == "=" else F.lit(rule.add or "")
-    return F.when(ok, F.concat(active_column(root) if rule.active else root, tail))
+        may = F.contains(s, F.lit("2" if rule.kind == "twice" else "-"))
+        made = lambda rest: F.when(rest != "", F.concat(rest, F.lit("-"), rest) if rule.kind == "twice" else rest)
+    else:
+        may = s.startswith(rule.pre)
+        if "" not in rule.suf:
+            ends = [s.endswith(x) for x in rule.suf]
+            may = may & (ends[0] if len(ends) == 1 else ends[0] | ends[1])
+        for bar in rule.bars:
+            may = may & ~s.startswith(bar)
+
+        def made(rest: Column) -> Column:
+            ok = (rest != "") & ~rest.endswith("in") if rule.no_in else rest != ""
+            root = F.concat(F.lit(rule.out), rest) if rule.out else rest
+            tail = F.regexp_extract(s, rx, 2) if rule.add == "=" else F.lit(rule.add or "")
+            return F.when(ok, F.concat(active_column(root) if rule.active else root, tail))
+
+    return F.when(may, F.get(F.transform(F.array(F.regexp_extract(s, rx, 1)), made), F.lit(0)))
 
 
 def steps(s: Column, transform: int | None = None) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kataflow.functions import rules
-from kataflow.functions.text import capitalized, strip_marks, without_diacritics
+from kataflow.functions.text import capitalized, strip_marks
 
 #: The text processors in order, with their fixed names.
 PROCESSORS: tuple[tuple[str, Callable[[str], str]], ...] = (
@@ -58,16 +58,15 @@ def _grow(chain: Column, name: str, f: Callable[[Column], Column]) -> Column:
 
 
 def with_variants(df: DataFrame, token: str = "token") -> DataFrame:
-    """df with `variants`, all three processors applied: a row per token in, one out."""
-    two = df.withColumn("_v", F.explode(F.transform(variant_columns(F.col(token)), lambda x, i: F.struct(i.alias("ord"), x.alias("v")))))
-    plain = two.withColumn("_plain", without_diacritics(F.col("_v.v.text")))
-    listed = plain.groupBy(*df.columns).agg(F.array_sort(F.collect_list(F.struct("_v.ord", F.col("_v.v.text").alias("text"), F.col("_v.v.preprocessors").alias("preprocessors"), F.col("_plain").alias("plain")))).alias("_all"))
-    step = F.flatten(F.transform("_all", lambda x: F.array(
-        F.struct(x["text"].alias("text"), x["preprocessors"].alias("preprocessors")),
-        F.struct(x["plain"].alias("text"), F.when(x["plain"] == x["text"], x["preprocessors"]).otherwise(F.concat(x["preprocessors"], F.array(F.lit(PROCESSORS[2][0])))).alias("preprocessors")),
-    )))
-    kept = F.aggregate(step, F.filter(step, lambda x: F.lit(False)), lambda k, x: F.when(F.exists(k, lambda y: y["text"] == x["text"]), k).otherwise(F.concat(k, F.array(x))))
-    return listed.withColumn("variants", kept).drop("_all")
+    """df with `variants`, all three processors applied: a row per row, without a shuffle."""
+    @F.pandas_udf("array<struct<text:string,preprocessors:array<string>>>")
+    def whole(tokens: pd.Series) -> pd.Series:
+        return tokens.map(lambda t: [{"text": x, "preprocessors": chain} for x, chain in variants(t)], na_action="ignore")
+
+    other = "not_ascii_" + "_".join(df.columns)  # longer than any of them
+    ascii_only = ~F.col(token).rlike(r"[^\x00-\x7F]")
+    found = df.withColumn(other, whole(F.when(~ascii_only, F.col(token))))
+    return found.withColumn("variants", F.when(ascii_only, variant_columns(F.col(token))).otherwise(F.col(other))).drop(other)
 
 
 @lru_cache(4096)
@@ -119,15 +118,25 @@ def candidates(token: str) -> list[tuple]:
 
 def generate(tokens: DataFrame, token: str = "token") -> DataFrame:
     """Rows SCHEMA for every distinct token of `tokens`; null tokens have none."""
+    return generate_each(tokens.select(F.col(token).alias("token")).distinct())
+
+
+def generate_each(tokens: DataFrame, *carry: str) -> DataFrame:
+    """Rows SCHEMA for every row of tokens (distinct already) that isn't null, with its columns `carry`: without a shuffle."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), 2000):
-                rows = [r for t in frame["token"].iloc[start : start + 2000] for r in candidates(t)]
-                yield pd.DataFrame(rows, columns=names)
-
-    return tokens.select(F.col(token).alias("token")).where("token is not null").distinct().mapInPandas(run, SCHEMA)
+                part = frame.iloc[start : start + 2000]
+                found = [candidates(t) for t in part["token"]]
+                made = pd.DataFrame([r for rows in found for r in rows], columns=names)
+                for c in carry:
+                    made[c] = part[c].repeat([len(rows) for rows in found]).to_numpy()
+                yield made
+
+    more = "".join(f", `{c}` {tokens.schema[c].dataType.simpleString()}" for c in carry)
+    return tokens.select("token", *carry).where("token is not null").mapInPandas(run, SCHEMA + more)
 
 
 def expand(frontier: DataFrame, keep: tuple[str, ...] = ("token",)) -> DataFrame:

@@ -21,17 +21,20 @@ def non_headwords(rows: DataFrame, headwords: DataFrame, most: int = MOST) -> Da
 def scan_metrics(rows: DataFrame, headwords: DataFrame, most: int = MOST) -> DataFrame:
     """What a scan in order reads until it has `most` rows: one row (non_headwords, scanned, matched).
 
-    The last row kept (one row on the driver) gives the place where the scan ends; the rest is one aggregate, without
-    a global window.
+    Each row is marked once. The last row kept (one row on the driver) gives the place where the scan ends; the rest is
+    one aggregate, without a global window.
     """
-    end = non_headwords(rows, headwords, most).agg(F.count("*").alias("n"), F.max(F.struct((-F.col("occurrences")).alias("low"), "token")).alias("last")).first()
+    words = headwords.select(F.col("headword").alias("_w"), F.lit(1).alias("_hit"))
+    marked = rows.join(words, F.lower("token") == F.col("_w"), "left").select("token", "occurrences", F.col("_hit").isNotNull().alias("hit")).persist()
+    low = (-F.col("occurrences")).alias("low")
+    end = marked.where(~F.col("hit")).orderBy(*_order()).limit(most).agg(F.count("*").alias("n"), F.max(F.struct(low, "token")).alias("last")).first()
     inside = F.lit(True)
     if end.n == most:
-        low, upto = -end.last.low, end.last.token
-        inside = (F.col("occurrences") > low) | ((F.col("occurrences") == low) & (F.col("token") <= upto))
-    words = headwords.select(F.col("headword").alias("_w"), F.lit(1).alias("_hit"))
-    marked = rows.where(inside).join(words, F.lower("token") == F.col("_w"), "left")
-    return marked.agg(F.count_if(F.col("_hit").isNull()).alias("non_headword_rows"), F.count("*").alias("scanned_rows"), F.count_if(F.col("_hit").isNotNull()).alias("matched_rows"))
+        inside = F.struct(low, "token") <= F.struct(F.lit(end.last.low).alias("low"), F.lit(end.last.token).alias("token"))
+    kept = marked.where(inside).agg(F.count_if(~F.col("hit")).alias("non_headword_rows"), F.count("*").alias("scanned_rows"), F.count_if(F.col("hit")).alias("matched_rows"))
+    row = kept.first()
+    marked.unpersist()
+    return rows.sparkSession.createDataFrame([row], kept.schema)
 
 
 def seed(rows: DataFrame, per_group: int = PER_GROUP, strict: bool = False) -> DataFrame:

@@ -6,6 +6,8 @@ least three documents, with the documents' languages as sources.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable
 
@@ -53,14 +55,31 @@ def _headwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return many.where("n >= 3").select("headword", "sources")
 
 
+#: Words for the rules: the tables' prose is invented, and some rules would never meet a word of theirs.
+WORDS = (
+    "bukulah rumahkah siapapun temanku kakakmu ibunya apalah adakah adapun suaraku matamu kotanya "
+    "orang2 anak-2 macam2 teman2 kura2 hati-2 gara2 dibacain dibeliin ditulis dipukul dikasihin dilihat disapu ditanyain "
+    "ngebangunin nyariin nyuciin ngambilin nungguin nyobain mukulin bacain meriksain ngebut nyari nyuci ngambil nunggu ncari mukul mbaca nge-cek "
+    "perbaikan perbaiki bacakan tulisi sapukan ambilkan kirimi lemparkan dapatkan beliin bikinin kasihin cobain tungguin ketabrak kebaca kepukul kelihat ketidakpastian ketulis "
+    "ga gak enggak nggak kalo taun cape capek menjijikkan temen semen pemen kemenangan "
+    "berlari-lari terbata-bata seolah-olah kehijau-hijauan rumah-rumah makan-makan lari-larian kaubaca kutulis nggakmau gaktahu gamau kaulihat kuambil "
+    "memperbaiki mengebom menyapu menyuci menyanyi mengambil mengirim menulis menari menduga memukul membaca memakan merasa melihat menjadi mengecat "
+    "pengebom penyapu penyuci penyanyi pengambil pengirim penulis penari penduga pemukul pembaca pemakan perasa pelihat penjaga pengecat "
+    "belajar bekerja beras perasa terasa bermain percaya tertawa kebaikan berjatuhan perjalanan ketidakadilan kemauan perbuatan berpelukan dimakan sebuah kedua ketidakmau "
+    "tulisan makanan bacai akhirkan harapan"
+)
+_WORDS_SQL = ", ".join(f"('{w}')" for w in dict.fromkeys(WORDS.split()))
+
+
 def _lower_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _frequency(spark, sf_dir).select(F.lower("token").alias("token")).distinct()
+    own = spark.createDataFrame([(w,) for w in dict.fromkeys(WORDS.split())], "token string")
+    return _frequency(spark, sf_dir).select(F.lower("token").alias("token")).unionByName(own).distinct()
 
 
 F_CTE = f"f AS (SELECT token, count(*) AS occurrences FROM (SELECT unnest(regexp_extract_all(text, '{RX}')) AS token FROM documents) GROUP BY token)"
 C_CTE = F_CTE + ", c AS (SELECT lower(token) AS token, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM f WHERE regexp_matches(lower(token), '[a-z]') GROUP BY 1 HAVING sum(occurrences) > 100)"
 H_CTE = f"h AS (SELECT headword, string_agg(DISTINCT lang, '|' ORDER BY lang) AS sources FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), '{RX}'))) AS headword FROM documents) GROUP BY headword HAVING count(*) >= 3)"
-T_CTE = F_CTE + ", t AS MATERIALIZED (SELECT DISTINCT lower(token) AS token FROM f)"
+T_CTE = F_CTE + f", t AS MATERIALIZED (SELECT lower(token) AS token FROM f UNION SELECT * FROM (VALUES {_WORDS_SQL}) AS x(token))"
 
 
 # Tokens and counts.
@@ -167,12 +186,11 @@ def non_headword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {C_CTE}, {H_CTE}, m AS (SELECT token, occurrences, EXISTS (SELECT 1 FROM h WHERE h.headword = lower(c.token) AND contains(sources, 'fr')) AS hit FROM c),
     r AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (ORDER BY occurrences DESC, token ROWS UNBOUNDED PRECEDING) AS kept FROM m),
-    s AS (SELECT * FROM r WHERE kept < 50 OR (kept = 50 AND NOT hit))
+    s AS (SELECT * FROM r WHERE kept < {review.MOST} OR (kept = {review.MOST} AND NOT hit))
     SELECT count(*) FILTER (NOT hit) AS non_headword_rows, count(*) AS scanned_rows, count(*) FILTER (hit) AS matched_rows FROM s"""
 )
 def review_scan_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan ends at the 50th row kept."""
-    return review.scan_metrics(_cleaned(spark, sf_dir), _some_headwords(spark, sf_dir), 50)
+    return review.scan_metrics(_cleaned(spark, sf_dir), _some_headwords(spark, sf_dir))
 
 
 _SEED_SQL = " UNION ALL ".join(
@@ -284,7 +302,7 @@ def _part_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH RECURSIVE {F_CTE}, b AS (SELECT token FROM f), {_CANDIDATES} SELECT token, rank, text, chain AS preprocessors, array_to_string(list_transform(list_reverse(path), lambda g: {_NAMES_SQL}), '|') AS transforms, conditions FROM k"
 )
 def candidates_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = candidates.generate(_frequency(spark, sf_dir))
+    found = candidates.generate_each(_frequency(spark, sf_dir))
     return found.select("token", "rank", "text", F.array_join("preprocessors", "|").alias("preprocessors"), F.array_join("transforms", "|").alias("transforms"), "conditions")
 
 
@@ -292,25 +310,27 @@ _RESOLVE = f"{F_CTE}, b AS (SELECT token FROM f), {_CANDIDATES}, {H_CTE}, r AS (
 _RESOLVED = "SELECT f.token, f.occurrences, a.text AS resolution, a.rank AS resolution_rank, coalesce(a.sources, '') AS resolution_sources, n.n AS candidate_count FROM f JOIN (SELECT token, count(*) AS n FROM k GROUP BY token) n ON n.token = f.token LEFT JOIN (SELECT token, arg_min(text, rank) AS text, min(rank) AS rank, arg_min(sources, rank) AS sources FROM r GROUP BY token) a ON a.token = f.token"
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found = _frequency(spark, sf_dir)
-    return found, candidates.generate(found), _headwords(spark, sf_dir)
-
-
 @query(f"WITH RECURSIVE {_RESOLVE} {_RESOLVED}")
 def resolve_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = resolve.resolve(*_parts(spark, sf_dir))
-    return found.withColumn("resolution_sources", F.array_join("resolution_sources", "|"))
+    found = resolve.by_token(candidates.generate_each(_frequency(spark, sf_dir), "occurrences"), _headwords(spark, sf_dir), "occurrences")
+    return found.drop("words").withColumn("resolution_sources", F.array_join("resolution_sources", "|"))
+
+
+@query(f"WITH RECURSIVE {_RESOLVE}, d AS ({_RESOLVED}) SELECT d.*, w.words FROM d JOIN (SELECT token, string_agg(text, '|' ORDER BY rank) AS words FROM k GROUP BY token) w ON w.token = d.token")
+def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of documents with their resolution and all their candidates by rank."""
+    found = resolve.by_token(candidates.generate_each(_frequency(spark, sf_dir), "occurrences"), _headwords(spark, sf_dir), "occurrences")
+    return found.withColumns({"resolution_sources": F.array_join("resolution_sources", "|"), "words": F.array_join("words", "|")})
 
 
 @query(
     f"WITH RECURSIVE {_PART_CTE}, {_CANDIDATES} SELECT pf.token, pf.occurrences, "
     + ", ".join(f"max(CASE WHEN k.rank = {n} THEN k.text END) AS word{n}" for n in range(1, 9)) + " FROM pf JOIN k ON k.token = pf.token GROUP BY ALL"
 )
-def wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight candidates of the words of parts, a column each."""
+def wide_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of parts with a column for each of eight candidates; without a number, resolve.wide() has one for every rank."""
     found = _part_tokens(spark, sf_dir)
-    return resolve.wide(found, candidates.generate(found), 8)
+    return resolve.wide(found, candidates.generate_each(found), 8)
 
 
 _TRACES = f"x AS (SELECT f.token, count(r.text) AS hit_count, count(r.text) = 0 AS is_fatal, CASE WHEN count(r.text) = 0 THEN concat(f.token, ' {resolve.FATAL}') ELSE concat(f.token, ', ', string_agg(r.text, ', ' ORDER BY r.rank)) END AS line FROM f LEFT JOIN r ON r.token = f.token GROUP BY f.token)"
@@ -318,8 +338,7 @@ _TRACES = f"x AS (SELECT f.token, count(r.text) AS hit_count, count(r.text) = 0
 
 @query(f"WITH RECURSIVE {_RESOLVE}, {_TRACES} SELECT token, CAST(hit_count AS INTEGER) AS hit_count, is_fatal, line FROM x")
 def debug_trace_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, made, words = _parts(spark, sf_dir)
-    return resolve.traces(found.select("token"), made, words)
+    return resolve.traces_by_token(candidates.generate_each(_frequency(spark, sf_dir)), _headwords(spark, sf_dir))
 
 
 _FIRST = f"SELECT role, token, min(turn) AS line_no FROM (SELECT role, turn, unnest(regexp_extract_all(text, '{RX}')) AS token FROM conversations) GROUP BY role, token"
@@ -425,14 +444,19 @@ def checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {F_CTE} SELECT token, occurrences FROM f")
 def streaming_token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = "streaming_token_frequency"
-    streaming.run_available(streaming.counts(streaming.read_parquet(spark, f"{sf_dir}/documents.parquet")), name)
-    return spark.table(name)
+    base = _scratch(spark)
+    made = streaming.run_to(streaming.counts(streaming.read_parquet(spark, f"{sf_dir}/documents.parquet")), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(made) if made else spark.createDataFrame([], "token string, occurrences long")
 
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kataflow-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="kataflow-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base}/scratch-{uuid.uuid4().hex}"

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gzip
-import io
 import json
 import os
 import re
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,15 +20,23 @@ COUNT_SCHEMA = "token string, occurrences long"
 REVIEW_SCHEMA = "token string, occurrences string, expected_result string, is_interesting string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV (gzip by suffix) whose header must be the schema's names in order and whose rows must have its width."""
+def read_csv(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """CSV (gzip by suffix) whose header must be the schema's names in order and whose rows must have its width.
+
+    lines: fields hold no line breaks, so that large files without compression are read by several tasks. An empty file,
+    which has no header, is an error.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at):  # noqa: SLF001
+        if f.isFile() and not f.getLen() and f.getPath().getName()[0] not in "._":
+            raise ValueError(f"{f.getPath()} is empty: its header is missing")
     reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
-    return reader.option("quote", '"').option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\x00").csv(path)
+    return reader.option("quote", '"').option("escape", '"').option("multiLine", not lines).option("emptyValue", "").option("nullValue", "\x00").csv(path)
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
     """A count table; a negative count raises when run."""
-    rows = read_csv(spark, path, COUNT_SCHEMA)
+    rows = read_csv(spark, path, COUNT_SCHEMA, lines=True)
     return rows.withColumn("occurrences", F.when(F.col("occurrences") < 0, F.raise_error(F.concat(F.lit("negative count of "), "token")).cast("long")).otherwise(F.col("occurrences")))
 
 
@@ -70,14 +79,25 @@ def input_tokens(lines: DataFrame) -> DataFrame:
     return t.withColumn("_n", F.row_number().over(Window.partitionBy("file", "token").orderBy("line_no"))).where("_n = 1").drop("_n")
 
 
-def _atomic(path: str, data: bytes) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    fd, temporary = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
-    with os.fdopen(fd, "wb") as f:
-        f.write(data)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(temporary, path)
+@contextmanager
+def _replacing(path: str) -> Iterator[IO[bytes]]:
+    """A file that takes path's place at the end, or never; .gz without time or name, so reruns are equal byte for byte."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    fd, temporary = tempfile.mkstemp(dir=folder)
+    try:
+        with os.fdopen(fd, "wb") as f:
+            if path.endswith(".gz"):
+                with gzip.GzipFile("", "wb", 6, f, mtime=0) as packed:
+                    yield packed
+            else:
+                yield f
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(temporary, path)
+    except BaseException:
+        os.unlink(temporary)
+        raise
 
 
 def _field(v: object) -> str:
@@ -86,16 +106,14 @@ def _field(v: object) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with the rows in df's order, replaced at once; .gz without time or name, so reruns are equal byte for byte.
+    """One CSV file with the rows in df's order, replaced at once.
 
-    For results that a person reads; large tables go to write_parts().
+    Rows are written as they arrive, a partition at a time; for tables that one file should not hold there is write_parts().
     """
-    buffer = io.StringIO()
-    buffer.write(",".join(df.columns) + "\n")
-    for row in df.toLocalIterator(prefetchPartitions=True):
-        buffer.write(",".join(map(_field, row)) + "\n")
-    data = buffer.getvalue().encode()
-    _atomic(path, gzip.compress(data, 6, mtime=0) if path.endswith(".gz") else data)
+    with _replacing(path) as f:
+        f.write((",".join(df.columns) + "\n").encode())
+        for row in df.toLocalIterator(prefetchPartitions=True):
+            f.write((",".join(map(_field, row)) + "\n").encode())
 
 
 def write_parts(df: DataFrame, path: str) -> None:
@@ -104,18 +122,25 @@ def write_parts(df: DataFrame, path: str) -> None:
 
 
 def write_json(value: object, path: str) -> None:
-    _atomic(path, (json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode())
+    with _replacing(path) as f:
+        f.write((json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n").encode())
 
 
 def write_lines(lines: Iterable[str], path: str) -> None:
-    _atomic(path, "".join(f"{x}\n" for x in lines).encode())
+    with _replacing(path) as f:
+        for x in lines:
+            f.write(f"{x}\n".encode())
 
 
-def write_headwords(index: DataFrame, words: str, provenance: str) -> None:
-    """The sorted list of headwords, and a JSON object (headword, sources) per line."""
-    ordered = index.orderBy("headword")
-    write_lines((r.headword for r in ordered.select("headword").toLocalIterator()), words)
-    write_lines((json.dumps({"headword": r.headword, "sources": list(r.sources)}, ensure_ascii=False, separators=(",", ":")) for r in ordered.toLocalIterator()), provenance)
+def write_headwords(index: DataFrame, words: str, provenance: str) -> int:
+    """The sorted list of headwords, and a JSON object (headword, sources) per line, in one pass; returns how many."""
+    n = 0
+    with _replacing(words) as f, _replacing(provenance) as g:
+        for r in index.orderBy("headword").toLocalIterator(prefetchPartitions=True):
+            f.write(f"{r.headword}\n".encode())
+            g.write((json.dumps({"headword": r.headword, "sources": list(r.sources)}, ensure_ascii=False, separators=(",", ":")) + "\n").encode())
+            n += 1
+    return n
 
 
 def write_review(rows: DataFrame, seed: DataFrame, seed_path: str, directory: str) -> None:
@@ -139,3 +164,10 @@ def checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select(F.expr("substring_index(path, '/', -1)").alias("file"), F.sha2("content", 256).alias("sha256"))
 
 
+def verify(spark: SparkSession, directory: str, pinned: dict[str, str]) -> list[str]:
+    """What differs from the pinned sha256 of files (by path below the directory): one message each."""
+    base = directory.rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    found = files.select(F.expr(f"substring_index(path, '{base}', -1)").alias("file"), F.sha2("content", 256).alias("sha256")).where(F.col("file").isin(*pinned))
+    have = {r.file: r.sha256 for r in found.collect()}  # a row per pinned file
+    return [f"{f}: expected {h}, got {have.get(f, 'no file')}" for f, h in sorted(pinned.items()) if have.get(f) != h]

@@ -35,6 +35,7 @@ def test_catalogue():
 
 
 def test_order_and_ranks():
+    # What these words become first.
     assert texts("diselesaikan")[:3] == ["diselesaikan", "menyelesaikan", "selesaikan"]
     assert texts("gara2").index("gara-gara") < texts("gara2").index("gara")
     assert "" in texts("di")
@@ -73,6 +74,8 @@ def test_variants_in_columns(spark):
     df = spark.createDataFrame([(w,) for w in words], "token string")
     found = {r.token: [(v.text, list(v.preprocessors)) for v in r.variants] for r in C.with_variants(df).collect()}
     assert found == {w: C.variants(w) for w in words}
+    twice = spark.createDataFrame([("É", 1), ("É", 1), (None, 2)], "token string, n int")
+    assert sorted((r.token or "", r.n, len(r.variants or ())) for r in C.with_variants(twice).collect()) == [("", 2, 0), ("É", 1, 4), ("É", 1, 4)]
 
 
 def test_columns_agree_with_python(spark):

@@ -146,6 +146,62 @@ def test_review(spark, tmp_path):
     assert (tmp_path / "b/corpus-review-10-20k.csv").read_text() == "token,occurrences,expected_result,is_interesting\n"
 
 
+def test_shards_of_the_same_name(spark, tmp_path):
+    """Shards are known by their path; counts that changed since are refused; a failed batch leaves a record."""
+    for folder, text in (("a", "satu satu"), ("b", "dua")):
+        shard(tmp_path / f"in/{folder}/one.json.gz", [json.dumps({"text": text})])
+    config = runs.Config(str(tmp_path / "in"), str(tmp_path / "out"), 2)
+    assert runs.count(spark, config) == 2 and runs.status(spark, config) == {"expected": 2, "done": 2, "failed": []}
+    batch = next((tmp_path / "out/ledger").iterdir())
+    assert {(r.shard, r.token, r.occurrences) for r in spark.read.parquet(str(batch / "counts")).collect()} == {("a/one.json.gz", "satu", 2), ("b/one.json.gz", "dua", 1)}
+    assert runs.merge(spark, config)["output"]["total_occurrences"] == 3
+    spark.createDataFrame([("b/one.json.gz", "tiga", 1)], "shard string, token string, occurrences long").write.mode("append").parquet(str(batch / "counts"))
+    with pytest.raises(ValueError, match="counts of 1 shards"):
+        runs.merge(spark, config)
+
+
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    from kataflow import __main__ as cli
+
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    shard(tmp_path / "in/a.json.gz", [json.dumps({"text": "makan makan minum"})])
+    (tmp_path / "run.json").write_text(json.dumps({"corpus_dir": "in", "output_dir": "out", "expected_shards": 1, "workers": 1, "checkpoint_every_lines": 5, "log_every_lines": 5}))
+    for command in ("count", "merge", "status"):
+        cli.main([command, "--config", str(tmp_path / "run.json")])
+    assert '"done": 1' in capsys.readouterr().out
+    (tmp_path / "words").mkdir()
+    (tmp_path / "words/a.txt").write_text("makan\nbaca\n")
+    cli.main(["build-headwords", "--headwords", str(tmp_path / "words"), "--out", str(tmp_path / "out")])
+    assert (tmp_path / "out/headwords_combined.txt").read_text() == "baca\nmakan\n"
+    (tmp_path / "banks").mkdir()
+    (tmp_path / "banks/term_bank_1.json").write_text('[["makan"]]')
+    cli.main(["intersect", "--counts", str(tmp_path / "out/token_frequencies.csv.gz"), "--banks", str(tmp_path / "banks"), "--out", str(tmp_path / "out/both.csv"), "--any-size"])
+    assert (tmp_path / "out/both.csv").read_text() == "token,occurrences\nmakan,2\n"
+    (tmp_path / "dumps").mkdir()
+    (tmp_path / "dumps/x.txt").write_text("dibaca\nqqq\n")
+    cli.main(["debug-traces", "--dumps", str(tmp_path / "dumps"), "--headwords", str(tmp_path / "words"), "--out", str(tmp_path / "traces")])
+    assert (tmp_path / "traces/x_result.txt").read_text().split("\n")[:2] == [f"qqq {resolve.FATAL}", "dibaca, baca"]
+    assert (tmp_path / "traces/_combined_debug.txt").read_text() == (tmp_path / "traces/x_result.txt").read_text()
+    import hashlib
+
+    sums = {"a.txt": hashlib.sha256(b"makan\nbaca\n").hexdigest()}
+    (tmp_path / "sums.json").write_text(json.dumps(sums))
+    cli.main(["verify-files", "--directory", str(tmp_path / "words"), "--sums", str(tmp_path / "sums.json")])
+    (tmp_path / "sums.json").write_text(json.dumps({"a.txt": "0", "b.txt": "1"}))
+    with pytest.raises(SystemExit):
+        cli.main(["verify-files", "--directory", str(tmp_path / "words"), "--sums", str(tmp_path / "sums.json")])
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(ValueError, match="empty"):
+        tables.read_counts(spark, str(tmp_path / "empty.csv"))
+
+
+def test_stream_into_a_folder(spark, tmp_path):
+    for expected in ({"a": 2, "b": 1}, {"a": 3, "b": 1}):
+        spark.createDataFrame([("a b a" if expected["a"] == 2 else "a",)], "text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        made = streaming.run_to(streaming.counts(streaming.read_parquet(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
+        assert {r.token: r.occurrences for r in spark.read.parquet(made).collect()} == expected
+
+
 def test_streaming_resumes(spark, tmp_path):
     spark.createDataFrame([("a b a",)], "text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     for expected in ({"a": 2, "b": 1}, {"a": 3, "b": 1}):
