@@ -19,9 +19,11 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 #: Pieces of one length that are ranked together, and buckets of a length at most: beyond that buckets grow instead, so
 #: that neither a bucket nor the list of a length's buckets is more than a task can hold.
 BUCKET_ROWS, BUCKETS = 500, 1 << 16
-#: Words that a worker keeps (some 80 MB).
-CACHED_WORDS = 400_000
+#: Units that a worker keeps (some 80 MB), and characters of the texts whose units it looks up at once.
+CACHED_WORDS, HELD_CHARS = 400_000, 2_000_000
 #: Where the tokenizer's units are known by rule: below this character.
 _BELOW = 0x250
 
@@ -48,15 +50,15 @@ def _chars(*kinds: str) -> str:
     return "".join(found)
 
 
-#: Finds what is not plain. Plain texts are cut at white space and looked up word by word: the tokenizer never joins across
-#: white space, and each character stands for itself or its lower case. All other texts go to the tokenizer whole.
+#: Finds what is not plain. Plain texts are cut into the tokenizer's units and looked up: the tokenizer never joins across
+#: units, and each character stands for itself or its lower case. All other texts go to the tokenizer whole.
 PLAIN = re.compile(f"[^\t\n\r {_chars('L', 'N', 'P', 'S')}]|<\\|")
-#: What the tokenizer takes as one unit in plain texts.
-_UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^\\s{L}{N}]+".format(L=_chars("L"), N=_chars("N")))
+#: Units of plain texts other than runs of letters, in the syntax of Arrow: set apart by spaces, all units are what spaces part.
+_UNIT = "('s|'t|'re|'ve|'m|'ll|'d|[{N}]|[^\\s{L}{N}]+)".format(L=_chars("L"), N=_chars("N"))
 
 
 class _Words(dict):
-    """Words and units -> bytes of their ids; a word's are put together from its units', and the tokenizer sees each new unit once."""
+    """Units -> bytes of their ids; the tokenizer sees each new unit once."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
@@ -69,34 +71,36 @@ class _Words(dict):
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: set[str]) -> None:
-        cut = {w: _UNIT.findall(w) for w in words}
-        new = list({u for units in cut.values() for u in units if u not in self})
-        if new:
-            ids = self.encode(" ".join(new))
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(new):
-                raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.update((u, raw[a:b]) for u, a, b in zip(new, at[:-1], at[1:], strict=True))
-            else:  # a unit that the tokenizer cuts otherwise
-                self.update((u, self.encode(u).tobytes()) for u in new)
-        self.update((w, b"".join([self[u] for u in units])) for w, units in cut.items() if len(units) > 1)
-
-    def text(self, text: str) -> bytes:
-        if PLAIN.search(text):
-            return self.encode(text).tobytes()
-        words = text.lower().split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn({w for w in words if w not in self})
-            return b"".join(map(self.__getitem__, words))
-
-    def warm(self, texts: list[str]) -> None:
-        """Learns what the texts need at once, in place of all that it knew where that is too much."""
+    def learn(self, new: list[str]) -> None:
+        ids = self.encode(" ".join(new))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(new):
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.update(zip(new, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
+        else:  # a unit that the tokenizer cuts otherwise
+            self.update((u, self.encode(u).tobytes()) for u in new)
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. What it needs at once is learned, in place of all that it knew where that is too much."""
+        plain = [not PLAIN.search(t) for t in texts]
+        spaced = pc.replace_substring_regex(pa.array([t.lower() for t in compress(texts, plain)], pa.large_string()), _UNIT, r" \1 ")
+        split = pc.ascii_split_whitespace(spaced)
+        coded = split.flatten().dictionary_encode()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self) > CACHED_WORDS:
             self.clear()
-        self.learn({w for t in texts if not PLAIN.search(t) for w in t.lower().split()} - self.keys())
+        self[""] = b""  # before a leading space and after a trailing one
+        if new := [u for u in units if u not in self]:
+            self.learn(new)
+        found = list(map(self.__getitem__, units))
+        ids, n = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = coded.indices.to_numpy()
+        copies, first = n[at], (np.cumsum(n) - n)[at]
+        ends = np.cumsum(copies)
+        flat = ids[np.repeat(first - ends + copies, copies) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))]
+        parts = (flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return [next(parts) if known else self.encode(t) for t, known in zip(texts, plain, strict=True)]
 
 
 @lru_cache(1)
@@ -109,19 +113,17 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     """Rows PIECES: each document's ids (little-endian unsigned 32 bits) and end_id, cut every `capacity` ids."""
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(spec)
-        for batch, texts in chunks(batches, "text"):
-            words.warm(texts)
+        for batch, texts in chunks(batches, "text", HELD_CHARS):
             doc_ids, out = batch.column(0).to_pylist(), ([], [], [], [], [])
-            for doc_id, text in zip(doc_ids, texts, strict=True):
-                ids = words.text(text) + end
-                n = len(ids) // 4
+            for doc_id, ids in zip(doc_ids, words.texts(texts), strict=True):
+                ids, n = np.concatenate((ids, end)), len(ids) + 1
                 for start in range(0, n, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    for column, v in zip(out, (doc_id, start, len(part) // 4, part, n), strict=True):
+                    part = ids[start : start + capacity]
+                    for column, v in zip(out, (doc_id, start, len(part), part.tobytes(), n), strict=True):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
