@@ -35,6 +35,7 @@ WINDOW, SEGMENT, ROUNDS, STREAMS, RATE, FIRST_SQUARES, BLOCK = 32, 128, 2, 256,
 EPSILON, START = 1e-12, 0.1
 SEGMENTS_PER_TRAINER, PARTS, FAN_IN, SCORED_CHARS = 8192, 16, 16, 8_000_000
 CLASSES = HEAD // CLASS + POWERS + 1
+WAITING = 4 * WINDOW * STREAMS  # states
 RARE = HEAD + POWERS  # model ids: head words, powers of two of middle words, rare
 END = xxhash.xxh3_64_intdigest(b"\n") - (1 << 63)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -134,6 +135,11 @@ def vocabulary(table: DataFrame) -> Vocabulary:
     return Vocabulary(top["word"].to_numpy(np.int64), top["c"].to_numpy(np.int64), int(n), int(v), unseen, int(n - top["c"].sum()))
 
 
+def _large(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether logits from rows of weights could overflow: states lie in (-1, 1), so the weights bound them."""
+    return np.abs(w).sum(1) + np.abs(b) > 60
+
+
 class Model:
     """Weights as one flat float32 vector with named views."""
 
@@ -141,7 +147,7 @@ class Model:
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
     def __init__(self, flat: np.ndarray):
-        self.flat, at = flat, 0
+        self.flat, self.held, at = flat, {}, 0
         for name, shape in self.SHAPES.items():
             n = int(np.prod(shape))
             setattr(self, name, flat[at : at + n].reshape(shape))
@@ -158,28 +164,47 @@ class Model:
         m.ob[:] = np.log(np.maximum(v.mass[:HEAD], 1e-6) / np.maximum(1, np.repeat(mass[: HEAD // CLASS], CLASS)))
         return m
 
-    def steps(self, x: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each row of x (steps x streams), from h; with `keep` also what backpropagation needs."""
-        k, states, saved = HIDDEN, np.empty((*x.shape, HIDDEN), np.float32), []
-        for t in range(len(x)):
-            a, g = self.win.take(x[t], 0), h @ self.u
-            zr = a[:, : 2 * k]
-            zr += g[:, : 2 * k]
-            zr *= 0.5
-            np.tanh(zr, out=zr)  # the logistic function by way of tanh
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write to, which later calls get again: fresh ones of this size cost page faults in each window."""
+        n = int(np.prod(shape))
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, self.flat.dtype)
+        return self.held[name][:n].reshape(shape)
+
+    def _gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """`win` and `u` gate by gate, halved for both logistic gates, which are computed by way of tanh."""
+        half = np.array([0.5, 0.5, 1], self.flat.dtype)[:, None, None]
+        return tuple(np.multiply(w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2), half, order="C") for w in (self.win, self.u))
+
+    def steps(self, x: np.ndarray, h: np.ndarray, keep: bool = False, gates: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple]:
+        """States after each row of x (steps x streams), from h; with `keep` also what backpropagation needs.
+
+        The arrays are used again by the next call. `gates` are those of _gates(), for callers that don't change the weights.
+        """
+        k, (length, n) = HIDDEN, x.shape
+        win, u = gates or self._gates()
+        states = self._room("states", length + 1, n, k)
+        states[0] = h
+        opened, gated = self._room("opened", length if keep else 1, 3, n, k), self._room("gated", length if keep else 1, 3, n, k)
+        before = states[0]
+        for t in range(length):
+            a, g, new, at = opened[t * keep], gated[t * keep], states[t + 1], x[t]
+            for one, w in zip(a, win, strict=True):
+                w.take(at, 0, one, "clip")
+            np.matmul(before, u, g)
+            zr, z, cand = a[:2], a[0], a[2]
+            zr += g[:2]
+            np.tanh(zr, zr)
             zr += 1
             zr *= 0.5
-            z, r, gn = zr[:, :k], zr[:, k:], g[:, 2 * k :]
-            n = r * gn
-            n += a[:, 2 * k :]
-            np.tanh(n, out=n)
-            new = np.subtract(h, n, out=states[t])
+            np.multiply(a[1], g[2], new)
+            cand += new
+            np.tanh(cand, cand)
+            np.subtract(before, cand, new)
             new *= z
-            new += n
-            if keep:
-                saved.append((h, z, r, n, gn))
-            h = new
-        return states, saved
+            new += cand
+            before = new
+        return states[1:], (states[:-1], opened, gated)
 
     def logs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of p(class) and, for head words, p(word | class): in blocks that stay in the processor's cache."""
@@ -202,10 +227,9 @@ class Model:
     def _softmax_logs(h: np.ndarray, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
         logits = h @ w
         logits += b
-        # States lie in (-1, 1): the weights bound the logits, and mostly no maximum is needed against overflow.
-        if (np.abs(w).sum(0) + np.abs(b)).max() > 60:
+        if _large(w.T, b).any():  # mostly no maximum is needed
             logits -= logits.max(1)[:, None]
-        one = logits[np.arange(len(at)), at].astype(np.float64)
+        one = logits.reshape(-1)[np.arange(0, logits.size, len(b)) + at].astype(np.float64)
         np.exp(logits, out=logits)
         return one - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
@@ -225,58 +249,90 @@ class Model:
     def learn(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, old: Model) -> np.ndarray:
         """One AdaGrad update from a window (steps x streams); `old` holds the sums of squares. Returns the last state."""
         k, every = HIDDEN, slice(None)
-        states, saved = self.steps(x, h, True)
+        win, u = self._gates()
+        states, (before, opened, gated) = self.steps(x, h, True, (win, u))
         hv, yv, n = states.reshape(-1, k), y.reshape(-1), y.size
         c = np.where(yv < HEAD, yv // CLASS, yv - HEAD + HEAD // CLASS).astype(np.int16)
 
-        def off(w: np.ndarray, b: np.ndarray, hv: np.ndarray, at: np.ndarray) -> np.ndarray:
+        every_one, nth = np.ones(max(n, CLASSES, CLASS), hv.dtype), np.arange(n)
+
+        def off(w: np.ndarray, b: np.ndarray, hv: np.ndarray, at: np.ndarray, large: bool) -> np.ndarray:
             """Softmax less one at the right place, by token."""
-            p = hv @ w
+            p = np.matmul(hv, w, self._room("off", len(hv), len(b)))
             p += b
-            if (np.abs(w).sum(0) + np.abs(b)).max() > 60:  # as in _softmax_logs
+            if large:  # as in _softmax_logs
                 p -= p.max(1)[:, None]
-            np.exp(p, out=p)
-            p *= (1 / (p @ np.ones(p.shape[1], p.dtype)))[:, None]
-            p[np.arange(len(at)), at] -= 1
-            p *= p.dtype.type(1 / n)
+            np.exp(p, p)
+            sums = p @ every_one[: len(b)]
+            sums *= n
+            np.reciprocal(sums, sums)
+            p *= sums[:, None]
+            p.reshape(-1)[nth[: len(at)] * len(b) + at] -= p.dtype.type(1 / n)
             return p
 
-        p = off(self.cw, self.cb, hv, c)
-        dh = p @ self.cw.T
-        steps = [("cw", every, hv.T @ p), ("cb", every, p.sum(0))]
+        dh, dcw, dcb, large = self._room("dh", n, k), np.zeros_like(self.cw), np.zeros_like(self.cb), _large(self.cw.T, self.cb).any()
+        for start in range(0, n, BLOCK):
+            part = slice(start, start + BLOCK)
+            p = off(self.cw, self.cb, hv[part], c[part], large)
+            np.matmul(p, self.cw.T, dh[part])
+            dcw += hv[part].T @ p
+            dcb += every_one[: len(p)] @ p
         by = np.argsort(c, kind="stable")
         ends = np.concatenate(([0], np.cumsum(np.bincount(c, minlength=CLASSES)[: HEAD // CLASS])))
         by = by[: ends[-1]]
-        sorted_h, inside, back = hv.take(by, 0), yv[by] % CLASS, np.empty((len(by), k), hv.dtype)
+        sorted_h, inside, back = hv.take(by, 0, self._room("sorted", len(by), k), "clip"), yv[by] % CLASS, self._room("back", len(by), k)
+        dow, dob = self._room("dow", HEAD, k), self._room("dob", HEAD)
+        dow[:], dob[:], large = 0, 0, _large(self.ow, self.ob).reshape(-1, CLASS).any(1)
         for b in np.flatnonzero(np.diff(ends)):
             part, rows = slice(ends[b], ends[b + 1]), slice(b * CLASS, (b + 1) * CLASS)
-            s = off(self.ow[rows].T, self.ob[rows], sorted_h[part], inside[part])
-            np.matmul(s, self.ow[rows], out=back[part])
-            # A class's weights are in nothing that follows.
-            self._descend("ow", rows, s.T @ sorted_h[part], old)
-            self._descend("ob", rows, s.sum(0), old)
+            s = off(self.ow[rows].T, self.ob[rows], sorted_h[part], inside[part], large[b])
+            np.matmul(s, self.ow[rows], back[part])
+            np.matmul(s.T, sorted_h[part], dow[rows])
+            np.matmul(every_one[: len(s)], s, dob[rows])
         dh[by] += back
-        dh, back, da, du = dh.reshape(states.shape), np.zeros_like(h), np.empty((*x.shape, 3 * k), h.dtype), np.zeros_like(self.u)
+        dh, back, da, dgn = dh.reshape(states.shape), np.zeros(h.shape, hv.dtype), self._room("da", 3, *states.shape), self._room("dgn", *states.shape)
+        turned = [np.ascontiguousarray(self.u[:, i * k : (i + 1) * k].T) for i in range(3)]
+        d, dn, one, two = self._room("loop", 4, *h.shape)
         for t in reversed(range(len(x))):
-            before, z, r, cand, gn = saved[t]
-            d = dh[t] + back
-            dn = d * (1 - z)
-            dn *= 1 - cand * cand
-            a = da[t]
-            np.multiply(d * (before - cand), z * (1 - z), out=a[:, :k])
-            np.multiply(dn * gn, r * (1 - r), out=a[:, k : 2 * k])
-            a[:, 2 * k :] = dn
-            dg = a.copy()
-            dg[:, 2 * k :] *= r
-            du += before.T @ dg
-            back = dg @ self.u.T
-            back += d * z
+            (z, r, cand), gn = opened[t], gated[t, 2]
+            dz, dr, dcand, dg = da[0, t], da[1, t], da[2, t], dgn[t]
+            np.add(dh[t], back, d)
+            np.subtract(1, z, one)
+            np.multiply(d, one, dn)
+            one *= z
+            np.subtract(before[t], cand, dz)
+            dz *= d
+            dz *= one
+            np.multiply(cand, cand, one)
+            np.subtract(1, one, one)
+            np.multiply(dn, one, dcand)
+            np.multiply(dcand, r, dg)
+            np.subtract(1, r, one)
+            np.multiply(dg, one, dr)
+            dr *= gn
+            np.multiply(d, z, back)
+            for g, w in zip((dz, dr, dg), turned, strict=True):
+                np.matmul(g, w, two)
+                back += two
+        hb = before.reshape(-1, k).T
+        du = np.concatenate([hb @ g.reshape(-1, k) for g in (da[0], da[1], dgn)], 1)
         ids = x.reshape(-1)
         by = np.argsort(ids.astype(np.int16), kind="stable")
         first = np.concatenate(([0], np.flatnonzero(np.diff(ids[by])) + 1))
-        for name, part, g in (*steps, ("u", every, du), ("win", ids[by][first], np.add.reduceat(da.reshape(-1, 3 * k).take(by, 0), first))):
+        times = np.diff(np.append(first, n))
+        most = np.argsort(-times, kind="stable")
+        first, times, da = first[most], times[most], da.reshape(3, n, k)
+        # Sums by id: all ids' first rows, then the second ones of those that have one, and so on; few ids have many rows.
+        sums, nth_row = da.take(by[first], 1), 1
+        while (more := int(np.searchsorted(-times, -nth_row))) > 32:
+            sums[:, :more] += da.take(by[first[:more] + nth_row], 1)
+            nth_row += 1
+        for i in range(more):
+            sums[:, i] += every_one[: times[i] - nth_row] @ da.take(by[first[i] + nth_row : first[i] + times[i]], 1)
+        dwin = sums.transpose(1, 0, 2).reshape(-1, 3 * k)
+        for name, part, g in (("cw", every, dcw), ("cb", every, dcb), ("ow", every, dow), ("ob", every, dob), ("u", every, du), ("win", ids[by[first]], dwin)):
             self._descend(name, part, g, old)
-        return states[-1]
+        return states[-1].copy()
 
 
 def train(segments: DataFrame, v: Vocabulary, share: Callable[[], Vocabulary]) -> np.ndarray:
@@ -343,18 +399,37 @@ def score_ids(m: Model, flat: np.ndarray, lengths: np.ndarray, start: int) -> np
     firsts = np.cumsum(lengths) - lengths
     before[firsts] = start
     by = np.argsort(-lengths, kind="stable")
-    size, first, total = lengths[by], firsts[by], np.zeros(len(lengths))
-    h, step = np.zeros((len(by), HIDDEN), np.float32), np.arange(WINDOW)[:, None]
-    for t in range(0, int(size[0]) if len(size) else 0, WINDOW):
-        n = int(np.searchsorted(-size, -t))
-        inside = t + step < size[:n]
-        at = np.where(inside, first[:n] + t + step, 0)
-        states, _ = m.steps(before[at], h[:n])
-        h = states[-1]
-        total[:n] += np.bincount(np.nonzero(inside)[1], m.logs(states[inside], flat[at[inside]]), n)
-    out = np.empty(len(lengths))
-    out[by] = total
-    return out
+    total, gates, step = np.zeros(len(lengths)), m._gates(), np.arange(WINDOW)[:, None]  # noqa: SLF001
+    # The last windows of long texts hold few states, so words wait until there are many states to look at at once.
+    waiting, places, texts, held = np.empty((WAITING, HIDDEN), np.float32), [], [], 0
+
+    def empty() -> None:
+        nonlocal held
+        if held:
+            total[:] += np.bincount(np.concatenate(texts), m.logs(waiting[:held], flat[np.concatenate(places)]), len(total))
+        places.clear()
+        texts.clear()
+        held = 0
+
+    for side in range(0, len(by), STREAMS):
+        own = by[side : side + STREAMS]
+        size, first = lengths[own], firsts[own]
+        h = np.zeros((len(own), HIDDEN), np.float32)
+        for t in range(0, int(size[0]), WINDOW):
+            n = int(np.searchsorted(-size, -t))
+            inside = t + step < size[:n]
+            at = np.where(inside, first[:n] + t + step, 0)
+            states, _ = m.steps(before[at], h[:n], gates=gates)
+            h = states[-1]
+            more, stream = at[inside], np.nonzero(inside)[1]
+            if held + len(more) > WAITING:
+                empty()
+            waiting[held : held + len(more)] = states[inside]
+            held += len(more)
+            places.append(more)
+            texts.append(own[stream])
+    empty()
+    return total
 
 
 def score(docs: DataFrame, learned: Column) -> DataFrame:

@@ -256,6 +256,40 @@ def test_windows_carry_the_state():
         assert abs(m.logs(states[:, 0], t).sum() - s) < 1e-3 * len(t)
 
 
+def test_words_are_looked_at_in_bulk(monkeypatch):
+    """Long texts end in windows with few states: these are put together, over groups of texts, and lose no token."""
+    v = lm.Vocabulary(np.arange(30), np.arange(60, 30, -1), 1500, 40, 0.3, 9)
+    m = lm.Model.initial(v)
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 30, n) for n in (900, 1, 70, 33, 200, 32, 500, 5, 64)]
+    alone = [m.logs(m.steps(np.concatenate([[7], t[:-1]])[:, None], np.zeros((1, lm.HIDDEN), np.float32))[0][:, 0], t).sum() for t in texts]
+    calls, logs = [], lm.Model.logs
+    monkeypatch.setattr(lm.Model, "logs", lambda self, h, y: calls.append(len(y)) or logs(self, h, y))
+    for streams, waiting, most in ((256, 32768, 1), (2, 128, 2 * sum(map(len, texts)) // 128 + 1)):
+        monkeypatch.setattr(lm, "STREAMS", streams)
+        monkeypatch.setattr(lm, "WAITING", waiting)
+        calls.clear()
+        got = lm.score_ids(m, np.concatenate(texts), np.array([len(t) for t in texts]), 7)
+        assert np.abs(got - alone).max() < 1 and sum(calls) == sum(map(len, texts)) and len(calls) <= most
+    assert len(lm.score_ids(m, np.empty(0, np.int64), np.empty(0, np.int64), 7)) == 0
+
+
+def test_windows_are_learned_in_kept_arrays():
+    """A second window of the same shape gets the first one's arrays; sums by id are those of adding row by row."""
+    v = lm.Vocabulary(np.arange(300), np.arange(600, 300, -1), 150_000, 400, 0.3, 9)
+    m = lm.Model(lm.Model.initial(v).flat.astype(np.float64))
+    rng = np.random.default_rng(3)
+    x, y = (np.minimum(rng.zipf(1.3, (8, 60)), 299) for _ in range(2))
+    before, old = m.win.copy(), lm.Model(np.zeros(lm.Model.SIZE))
+    h = m.learn(x, y, np.zeros((60, lm.HIDDEN)), old)
+    sums = np.zeros_like(m.win)
+    np.add.at(sums.reshape(-1, 3, lm.HIDDEN), x.reshape(-1), m.held["da"].reshape(3, -1, lm.HIDDEN).transpose(1, 0, 2))
+    assert np.allclose(np.sqrt(old.win), np.abs(sums)) and (np.sign(before - m.win) == np.sign(sums)).all()
+    held = {k: id(a) for k, a in m.held.items()}
+    m.learn(x, y, h, old)
+    assert {k: id(a) for k, a in m.held.items()} == held
+
+
 def test_lm_scores(spark, odd, none):
     rng = random.Random(5)
     texts = [(i, " ".join(rng.choices(["the", "of", "and", "to", f"w{i}", "Zé"], k=rng.randint(0, 90)))) for i in range(120)]
