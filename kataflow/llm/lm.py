@@ -172,9 +172,9 @@ class Model:
         return self.held[name][:n].reshape(shape)
 
     def _gates(self) -> tuple[np.ndarray, np.ndarray]:
-        """`win` and `u` gate by gate, halved for both logistic gates, which are computed by way of tanh."""
-        half = np.array([0.5, 0.5, 1], self.flat.dtype)[:, None, None]
-        return tuple(np.multiply(w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2), half, order="C") for w in (self.win, self.u))
+        """`win` and `u` gate by gate, negated for both logistic gates, which are 1 / (1 + exp(-x))."""
+        sign = np.array([-1, -1, 1], self.flat.dtype)[:, None, None]
+        return tuple(np.multiply(w.reshape(len(w), 3, HIDDEN).transpose(1, 0, 2), sign, order="C") for w in (self.win, self.u))
 
     def steps(self, x: np.ndarray, h: np.ndarray, keep: bool = False, gates: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple]:
         """States after each row of x (steps x streams), from h; with `keep` also what backpropagation needs.
@@ -186,24 +186,29 @@ class Model:
         states = self._room("states", length + 1, n, k)
         states[0] = h
         opened, gated = self._room("opened", length if keep else 1, 3, n, k), self._room("gated", length if keep else 1, 3, n, k)
-        before = states[0]
-        for t in range(length):
-            a, g, new, at = opened[t * keep], gated[t * keep], states[t + 1], x[t]
-            for one, w in zip(a, win, strict=True):
-                w.take(at, 0, one, "clip")
-            np.matmul(before, u, g)
-            zr, z, cand = a[:2], a[0], a[2]
-            zr += g[:2]
-            np.tanh(zr, zr)
-            zr += 1
-            zr *= 0.5
-            np.multiply(a[1], g[2], new)
-            cand += new
-            np.tanh(cand, cand)
-            np.subtract(before, cand, new)
-            new *= z
-            new += cand
-            before = new
+        before, few = states[0], n <= 8  # few streams: calls cost more than copies
+        asked = np.ascontiguousarray(win.take(x, 1).transpose(1, 0, 2, 3)) if few else x
+        with np.errstate(over="ignore"):  # exp(-x) may be infinite: the gate is 0
+            for t in range(length):
+                a, g, new, at = opened[t * keep], gated[t * keep], states[t + 1], asked[t]
+                if few:
+                    a[:] = at
+                else:
+                    for one, w in zip(a, win, strict=True):
+                        w.take(at, 0, one, "clip")
+                np.matmul(before, u, g)
+                zr, z, cand = a[:2], a[0], a[2]
+                zr += g[:2]
+                np.exp(zr, zr)
+                zr += 1
+                np.reciprocal(zr, zr)
+                np.multiply(a[1], g[2], new)
+                cand += new
+                np.tanh(cand, cand)
+                np.subtract(before, cand, new)
+                new *= z
+                new += cand
+                before = new
         return states[1:], (states[:-1], opened, gated)
 
     def logs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
